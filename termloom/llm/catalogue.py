@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, simhash, topk
+from . import langid, simhash, topk, toxicity
 
-MODULES = [langid, topk, simhash]
+MODULES = [toxicity, langid, topk, simhash]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
