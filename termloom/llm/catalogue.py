@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import langid, quality, simhash, topk, toxicity
+from . import langid, licences, quality, simhash, topk, toxicity
 
-MODULES = [toxicity, langid, topk, quality, simhash]
+MODULES = [toxicity, langid, topk, quality, licences, simhash]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
