@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, licences, quality, simhash, topk, toxicity
+from . import decontaminate, langid, licences, pii, quality, simhash, topk, toxicity
 
-MODULES = [toxicity, langid, topk, quality, licences, simhash, decontaminate]
+MODULES = [toxicity, langid, topk, quality, pii, licences, simhash, decontaminate]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
