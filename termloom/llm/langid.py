@@ -258,6 +258,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not shared.value.predict(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(id_crc() % 5 != 0).select("doc_id", "text", "lang"))
