@@ -7,12 +7,13 @@ the lowest rank and looks up the two pairs that changed. The rank map is a
 literal: pairs of ids lie in a perfect-hash table of two literal arrays, so a
 lookup is constant time.
 
-Words are folded once where it pays: the ``WORDS`` most frequent words of the
-corpus (counted over all documents, in blocks; a word met once in every block
-does not compete) are folded as distinct words and shared as a dictionary of
-that bounded size; every other word is folded where it stands. The dictionary
-changes the work, never the result. Words of more than ``LONG`` bytes, whose
-fold would be quadratic, are merged by the same rule with a heap in Python.
+The ``WORDS`` most frequent words of the corpus (counted over all documents, in
+blocks; a word met once in every block does not compete) are folded so, once
+each, and shared as a dictionary of that bounded size. The rest of the
+vocabulary grows with the corpus and cannot be shared; those words are merged
+where they stand by the same rule in Python, with a heap beyond ``LONG`` bytes.
+(Folding them by higher-order functions too costs 60 microseconds a word, see
+the README.) The dictionary changes the work, never the result.
 
 Decoding concatenates the ids' byte pieces.
 
@@ -35,9 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-WORDS, LONG, BLOCK = 1 << 19, 256, 16 << 20
+WORDS, LONG, BLOCK = 1 << 18, 256, 16 << 20
 NO_PAIR = 1 << 30
-HOLE = np.uint32(0xFFFFFFFF)
 K1, K2, K3 = 104_729, 1_299_709, 15_485_863
 
 
@@ -166,34 +166,58 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+def merged_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges by a plain scan, for words of ordinary length."""
+    if word in ranks:
+        return [ranks[word]]
+    get = ranks.get
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [get(word[i : i + 2], NO_PAIR) for i in range(len(word) - 1)]
+    while pairs:
+        low = min(pairs)
+        if low == NO_PAIR:
+            break
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], NO_PAIR)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], NO_PAIR)
+    return [ranks[p] for p in parts]
+
+
 class Tokens:
     """What tasks share: ranks, pattern and the dictionary of frequent words (bounded by WORDS)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, words: pa.Table | None = None):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, found: tuple[list[str], bytes, np.ndarray] = ([], b"", np.zeros(0, np.int64))):
         self.ranks, self.pattern = ranks, pattern
-        self.words = None if words is None else words.combine_chunks()
+        #: words, their ids' bytes laid end to end, how many bytes each has
+        self.words, self.blob, self.lengths = found
 
     def __getstate__(self) -> dict:
-        return {"ranks": self.ranks, "pattern": self.pattern, "words": self.words}
+        return {k: getattr(self, k) for k in ("ranks", "pattern", "words", "blob", "lengths")}
 
     def ready(self) -> Tokens:
         if not hasattr(self, "find"):
             import regex
 
             self.find = regex.compile(self.pattern).findall
-            self.known: dict[str, bytes] = {}
+            ends = np.cumsum(self.lengths)
+            self.known = {w: self.blob[s:e] for w, s, e in zip(self.words, (ends - self.lengths).tolist(), ends.tolist())}
+            self.words, self.blob = [], b""
             for piece, rank in self.ranks.items():
                 try:
                     self.known[piece.decode()] = rank.to_bytes(4, "little")
                 except UnicodeDecodeError:
                     pass
-            if self.words is not None:
-                for word, ids in zip(self.words.column("word").to_pylist(), self.words.column("ids").to_pylist()):
-                    self.known[word] = np.array(ids, "<u4").tobytes()
-            self.byte_ids = [self.ranks[bytes([c])] for c in range(256)]
             self.pieces = {r: p for p, r in self.ranks.items()}
         return self
 
+    def merge(self, word: str) -> bytes:
+        raw = word.encode()
+        return np.array(merged(raw, self.ranks) if len(raw) > LONG else merged_short(raw, self.ranks), "<u4").tobytes()
+
 
 def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
     """``word, n``: words outside the vocabulary, by blocks of text; what a block holds once is left out."""
@@ -223,8 +247,8 @@ def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(docs: DataFrame, tokens: Tokens, pairs: PairTable, words: int = WORDS) -> pa.Table:
-    """Dictionary of at most ``words`` frequent words: word, ids."""
+def frequent(docs: DataFrame, tokens: Tokens, pairs: PairTable, words: int = WORDS) -> tuple[list[str], bytes, np.ndarray]:
+    """Dictionary of at most ``words`` frequent words, folded in Spark: words, ids laid end to end, bytes of each."""
     counts = written(counted(docs, tokens), "words")
     step = F.when(F.col("n") <= 1000, F.col("n")).otherwise(1000 + F.floor(F.log2("n") * 16)).cast("long")
     sizes = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
@@ -237,7 +261,10 @@ def frequent(docs: DataFrame, tokens: Tokens, pairs: PairTable, words: int = WOR
     picked = counts.where(step >= (least if least is not None else 1 << 60))
     raw = F.col("word").cast("binary")
     ids = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.element_at(byte_ids, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + 1))
-    return picked.select("word", ids.alias("ids")).select("word", folded(F.col("ids"), pairs).alias("ids")).toArrow()
+    table = picked.select("word", ids.alias("ids")).select("word", folded(F.col("ids"), pairs).alias("ids")).toArrow()
+    lists = table.column("ids").combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * 4
+    return table.column("word").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes(), lengths
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> DataFrame:
@@ -245,50 +272,26 @@ def encoded(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> Dat
     ranks = read_ranks(path)
     pairs = PairTable(ranks)
     plain = Tokens(ranks, pattern)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(Tokens(ranks, pattern, frequent(docs, plain, pairs, words)))
+    shared = docs.sparkSession.sparkContext.broadcast(Tokens(ranks, pattern, frequent(docs, plain, pairs, words)))
 
-    def cut(batches):
+    def run(batches):
         t = shared.value.ready()
-        known, hole, byte_ids = t.known, HOLE.tobytes(), t.byte_ids
+        known, pieces = t.known, t.pieces
         for batch in batches:
-            ids, rare = [], []
+            ids, decoded = [], []
             for text in batch.column("text").to_pylist():
                 words = t.find(text) if text else []
                 parts = list(map(known.get, words))
-                left = []
-                for i in [i for i, p in enumerate(parts) if p is None]:
-                    raw = words[i].encode()
-                    if len(raw) > LONG or raw in t.ranks:
-                        parts[i] = np.array(merged(raw, t.ranks), "<u4").tobytes()
-                    else:
-                        parts[i] = hole
-                        left.append([byte_ids[c] for c in raw])
-                ids.append(b"".join(parts))
-                rare.append(left)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.list_(pa.int32())))], ["doc_id", "ids", "rare"])
-
-    def joined(batches):
-        pieces = shared.value.ready().pieces
-        for batch in batches:
-            out, text = [], []
-            for raw, rare in zip(batch.column("ids").to_pylist(), batch.column("rare")):
-                ids = np.frombuffer(raw, "<u4")
-                if len(rare):
-                    lists = rare.values
-                    ends = lists.offsets.to_numpy()
-                    many = np.ones(len(ids), np.int64)
-                    many[ids == HOLE] = np.diff(ends)
-                    ids = np.repeat(ids, many)
-                    ids[ids == HOLE] = lists.values.to_numpy()[ends[0] : ends[-1]]
-                out.append(ids.astype("<u4").tobytes())
-                text.append(b"".join(map(pieces.__getitem__, ids.tolist())))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), pa.array(text, pa.binary())], ["doc_id", "ids", "decoded"])
+                if None in parts:
+                    for i in [i for i, p in enumerate(parts) if p is None]:
+                        parts[i] = t.merge(words[i])
+                raw = b"".join(parts)
+                ids.append(raw)
+                decoded.append(b"".join(map(pieces.__getitem__, np.frombuffer(raw, "<u4").tolist())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    holes = narrow.mapInArrow(cut, "doc_id long, ids binary, rare array<array<int>>")
-    filled = holes.select("doc_id", "ids", F.transform("rare", lambda w: folded(w, pairs)).alias("rare"))
-    return filled.mapInArrow(joined, "doc_id long, ids binary, decoded binary")
+    return narrow.mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
