@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding by the ranks of a public vocabulary.
 
 Texts are cut by the vocabulary's pattern. Words are folded by Spark's
-higher-order functions: a word is an array of token ids, one a byte, beside the
-array of its adjacent pairs' ranks; every fold step merges the leftmost pair of
-the lowest rank and looks up the two pairs that changed. The rank map is a
+higher-order functions: a word is an array of token ids, one a byte; every fold
+step ranks the adjacent pairs and merges the leftmost pair of the lowest rank. The rank map is a
 literal: pairs of ids lie in a perfect-hash table of two literal arrays, so a
 lookup is constant time.
 
@@ -27,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections import Counter
 
 import numpy as np
@@ -53,6 +53,17 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Finds characters that Python's ``re`` may class otherwise than the pattern: all but
+#: printable ASCII, its blanks, and Latin letters and signs that are no digits or fractions.
+UNLIKE = re.compile("[^\t-\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]").search
+
+
+def plain_pattern(pattern: str) -> str | None:
+    """The pattern for ``re``, which has no Unicode properties; None if that can't be said."""
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    return None if r"\p" in plain else plain
+
+
 def prime(n: int) -> int:
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
@@ -105,38 +116,31 @@ def transform_one(value: Column, use) -> Column:
 
 
 def folded(ids: Column, pairs: PairTable) -> Column:
-    """array<int> of byte ids -> array<int> of token ids."""
+    """array<int> of byte ids -> array<int> of token ids.
+
+    The pairs' ranks are looked up anew in each step: a single lookup in the
+    expression keeps a single copy of the literal arrays in the plan.
+    """
     lit = pairs.literals()
-    n = F.size(ids)
-    ranks = F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), lambda a, b: pairs.lookup(lit, a, b))
-    none = F.array().cast("array<int>")
-
-    def state(i: Column, r: Column) -> Column:
-        return F.struct(i.alias("i"), r.alias("r"))
-
-    def merge(s: Column, low: Column, at: Column) -> Column:
-        i, r = s["i"], s["r"]
-        size = F.size(i)
-        left = F.when(at > 1, F.array(pairs.lookup(lit, F.element_at(i, at - 1), low))).otherwise(none)
-        right = F.when(at + 1 < size, F.array(pairs.lookup(lit, low, F.element_at(i, at + 2)))).otherwise(none)
-        return state(
-            F.concat(F.slice(i, 1, at - 1), F.array(low), F.slice(i, at + 2, size)),
-            F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, size)),
-        )
-
-    def step(s: Column, _: Column) -> Column:
-        low = F.array_min(s["r"])
-        found = F.element_at(transform_one(low, lambda m: F.element_at(transform_one(F.array_position(s["r"], m).cast("int"), lambda p: merge(s, m, p)), 1)), 1)
-        return F.when(low < NO_PAIR, found).otherwise(s)
-
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(none)
-    return F.aggregate(steps, state(ids, F.when(n > 1, ranks).otherwise(none)), step, lambda s: s["i"])
-
-
-def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap, for long words."""
+
+    def step(word: Column, _: Column) -> Column:
+        n = F.size(word) - 1
+        ranks = F.zip_with(F.slice(word, 1, n), F.slice(word, 2, n), lambda a, b: pairs.lookup(lit, a, b))
+
+        def merge(r: Column) -> Column:
+            low, at = F.array_min(r), F.array_position(r, F.array_min(r)).cast("int")
+            return F.when(low < NO_PAIR, F.concat(F.slice(word, 1, at - 1), F.array(low), F.slice(word, at + 2, n + 1))).otherwise(word)
+
+        return F.element_at(transform_one(ranks, merge), 1)
+
+    steps = F.when(F.size(ids) > 1, F.sequence(F.lit(2), F.size(ids))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, ids, step)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Pieces of a word by the same merges, with a heap: for long words."""
     if word in ranks:
-        return [ranks[word]]
+        return [word]
     parts: list[bytes | None] = [bytes([c]) for c in word]
     nxt, prv = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(ranks[word[i : i + 2]], i, 1, 1) for i in range(len(word) - 1) if word[i : i + 2] in ranks]
@@ -163,13 +167,13 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         if prv[i] >= 0:
             push(prv[i])
         push(i)
-    return [ranks[p] for p in parts if p is not None]
+    return [p for p in parts if p is not None]
 
 
-def merged_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges by a plain scan, for words of ordinary length."""
+def merged_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same by a plain scan, for words of ordinary length."""
     if word in ranks:
-        return [ranks[word]]
+        return [word]
     get = ranks.get
     parts = [word[i : i + 1] for i in range(len(word))]
     pairs = [get(word[i : i + 2], NO_PAIR) for i in range(len(word) - 1)]
@@ -184,7 +188,7 @@ def merged_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[i - 1] = get(parts[i - 1] + parts[i], NO_PAIR)
         if i < len(pairs):
             pairs[i] = get(parts[i] + parts[i + 1], NO_PAIR)
-    return [ranks[p] for p in parts]
+    return parts
 
 
 class Tokens:
@@ -199,10 +203,14 @@ class Tokens:
         return {k: getattr(self, k) for k in ("ranks", "pattern", "words", "blob", "lengths")}
 
     def ready(self) -> Tokens:
-        if not hasattr(self, "find"):
+        if not hasattr(self, "careful"):
             import regex
 
-            self.find = regex.compile(self.pattern).findall
+            self.careful = regex.compile(self.pattern).findall
+            quick = plain_pattern(self.pattern)
+            self.quick = re.compile(quick).findall if quick else None
+            self.bytes_of = {p: r.to_bytes(4, "little") for p, r in self.ranks.items()}
+            self.memo: dict[str, bytes] = {}
             ends = np.cumsum(self.lengths)
             self.known = {w: self.blob[s:e] for w, s, e in zip(self.words, (ends - self.lengths).tolist(), ends.tolist())}
             self.words, self.blob = [], b""
@@ -214,9 +222,20 @@ class Tokens:
             self.pieces = {r: p for p, r in self.ranks.items()}
         return self
 
+    def find(self, text: str) -> list[str]:
+        """The pattern's matches; by the faster library where the text has only characters both class alike."""
+        return self.quick(text) if self.quick and not UNLIKE(text) else self.careful(text)
+
     def merge(self, word: str) -> bytes:
-        raw = word.encode()
-        return np.array(merged(raw, self.ranks) if len(raw) > LONG else merged_short(raw, self.ranks), "<u4").tobytes()
+        found = self.memo.get(word)
+        if found is None:
+            raw = word.encode()
+            parts = merged(raw, self.ranks) if len(raw) > LONG else merged_short(raw, self.ranks)
+            found = b"".join(map(self.bytes_of.__getitem__, parts))
+            if len(self.memo) >= 1 << 16:
+                self.memo.clear()
+            self.memo[word] = found
+        return found
 
 
 def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
