@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 # --- text -------------------------------------------------------------------
 
-HEBREW = ["במפקדה ללשכה והמודיעין", "רַע״נ רע''נ רע\"נ", "תת-אלוף", "לשכת אלוף", "8200", "של", "בסיס", "מבצע", "מרפאה", "תור למרפאה ובדיקת דם", "café x", "café", "בדם", "ולמבצעים", "", "חמ\"ל־צפון", "  A_b/C  "]
+HEBREW = ["במפקדה ללשכה והמודיעין", "רַע״נ רע''נ רע\"נ", "תת-אלוף", "לשכת אלוף", "8200", "של", "בסיס", "מבצע", "מרפאה", "תור למרפאה ובדיקת דם", "caf\u00e9 x", "cafe\u0301", "בדם", "ולמבצעים", "", "חמ\"ל־צפון", "  A_b/C  "]
 FIXTURE = "fixture(id, text) as (values " + ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(HEBREW)) + ")"
 
 
@@ -58,7 +58,7 @@ def normalize_tokens_noprefix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select page_id, {sql_marks('url || chr(769) || html')} as stripped from pages")
 def strip_marks_pages(spark: SparkSession, d: str) -> DataFrame:
-    return lx.read(spark, d, "pages").select("page_id", tx.strip_marks(F.concat("url", F.lit("́"), "html")).alias("stripped"))
+    return lx.read(spark, d, "pages").select("page_id", tx.strip_marks(F.concat("url", F.lit("\u0301"), "html")).alias("stripped"))
 
 
 @query(with_("docs place", "select d.id as doc_id, count(p.word) as n_tokens, count(distinct p.word) as n_distinct from docs d left join place p on d.id = p.id group by 1"))
