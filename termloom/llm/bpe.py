@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sliced, table, written
 
 WORDS, LONG, BLOCK = 1 << 18, 256, 16 << 20
 NO_PAIR = 1 << 30
@@ -252,7 +252,7 @@ def counted(docs: DataFrame, tokens: Tokens) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 if text:
                     count.update(t.find(text))
@@ -296,7 +296,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, words: int = WORDS) -> Dat
     def run(batches):
         t = shared.value.ready()
         known, pieces = t.known, t.pieces
-        for batch in batches:
+        for batch in sliced(batches):
             ids, decoded = [], []
             for text in batch.column("text").to_pylist():
                 words = t.find(text) if text else []

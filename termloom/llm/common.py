@@ -39,6 +39,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches cut to a few hundred rows, so what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of an id written as text, the fold function of all held-out splits."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

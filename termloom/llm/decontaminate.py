@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 EDITS, RECALL, DIFFER, SAMPLED, WALKS, ITEMS = 0.2, 0.995, 0.7, 2, 8, 20_000
 WORD = re.compile(r"[^\W_]+")
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]))
 
         def run(batches, shared=shared):
-            for batch in batches:
+            for batch in sliced(batches):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(d, *f) for d, t in zip(ids, batch.column("text").to_pylist()) for f in shared.value.find(t)]
                 if rows:

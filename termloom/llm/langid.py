@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, sliced, table
 
 ORDER, SAMPLE, MAX_GRAMS, SHORT = 4, 400, 400_000, 60
 UNKNOWN, BLANK = 1, 0
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             cols = list(zip(*got)) if got else [(), (), (), ()]
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
@@ -263,7 +263,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not shared.value.predict(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import sliced, table
 
 SURE, AGREE, VARIANTS, SEED = 0.6, 0.7, 60, 11
 WORD = re.compile(r"[^\W_]+")
@@ -247,7 +247,7 @@ def licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
     kind = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [[dict(zip(("family", "start", "end", "score"), f)) for f in shared.value.scan(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "findings"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sliced, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, TRUST, SURE = 3, 4, 0.6, 0.7
@@ -173,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
     seen = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             bases, seens = [], []
             for text in batch.column("text").to_pylist():
                 spans = base(text)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, id_crc, table
+from .common import crc_of, id_crc, sliced, table
 from .sampling import labelled_texts
 
 SAMPLE, BITS, DIM, EPOCHS, RATE, GRAMS = 3000, 18, 8, 6, 0.5, (3, 4, 5)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = shared.value.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 

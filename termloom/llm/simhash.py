@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, table, written
+from .common import components, partitions, sliced, table, written
 
 BITS, NEAR, LEAST = 64, 3, 5
 TRIPLES = [c for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id, fp``; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             fp = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 

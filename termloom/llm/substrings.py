@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import partitions, sliced, table
 
 WINDOW, GRAM, HEAVY, BLOCK, CHUNK = 100, 32, 2000, 12 << 20, 2 << 20
 SPAN = WINDOW - GRAM + 1  # grams of a window
@@ -178,7 +178,7 @@ def post(docs: DataFrame, buckets: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for ids, texts in runs_of(batch.column("doc").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]):
                 found.append(anchors(ids, texts))
                 size += sum(map(len, texts))
