@@ -60,17 +60,13 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def byte_at(fp, k: int):
-    """Byte k of a fingerprint column, the most significant first."""
-    return F.shiftrightunsigned(fp, 56 - 8 * k).bitwiseAND(F.lit(255))
-
-
-def posting(fp, positions) -> F.Column:
-    """Key of one posting list: which positions, and the bytes there."""
-    key = F.lit(sum(1 << k for k in positions)).cast("long")
+def posting(fps: np.ndarray, positions) -> np.ndarray:
+    """Keys of posting lists of signed fingerprints: which positions, and the bytes there."""
+    u = fps.view(np.uint64)
+    key = np.full(len(u), sum(1 << k for k in positions), np.uint64)
     for k in positions:
-        key = F.shiftleft(key, 8).bitwiseOR(byte_at(fp, k))
-    return key
+        key = (key << np.uint64(8)) | ((u >> np.uint64(56 - 8 * k)) & np.uint64(255))
+    return key.view(np.int64)
 
 
 def forest(fps: np.ndarray) -> list[tuple[int, int]]:
@@ -156,18 +152,27 @@ def _lists_to_links(posted: DataFrame) -> DataFrame:
 
 def links(distinct_fps: DataFrame, heavy: int = 500) -> DataFrame:
     """``a, b``: links that connect exactly the near fingerprints of column fp."""
-    fp = F.col("fp")
-    first = F.explode(F.array(*[F.struct(posting(fp, t).alias("key"), F.lit(i).alias("t")) for i, t in enumerate(TRIPLES)]))
-    posted = distinct_fps.select("fp", first.alias("p")).select("fp", "p.key", "p.t")
+
+    def post(batches):
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            for t, positions in enumerate(TRIPLES):
+                yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(posting(fp, positions)), pa.array(np.full(len(fp), t))], ["fp", "key", "t"])
+
+    def refine(batches):
+        for batch in batches:
+            fp, key, t, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "key", "t", "n"))
+            fps, keys = [fp[n <= heavy]], [key[n <= heavy]]
+            for i in np.unique(t[n > heavy]).tolist():
+                own = np.ascontiguousarray(fp[(n > heavy) & (t == i)])
+                for pair in combinations([k for k in range(8) if k not in TRIPLES[i]], 2):
+                    fps.append(own)
+                    keys.append(posting(own, (*TRIPLES[i], *pair)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fps)), pa.array(np.concatenate(keys))], ["fp", "key"])
+
+    posted = distinct_fps.select("fp").mapInArrow(post, "fp long, key long, t long")
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    posted = posted.join(counts, "key")
-    more = []
-    for t in TRIPLES:
-        rest = [k for k in range(8) if k not in t]
-        more.append(F.array(*[posting(fp, (*t, *pair)) for pair in combinations(rest, 2)]))
-    finer = F.element_at(F.array(*more), F.col("t") + 1)
-    keys = F.when(F.col("n") > heavy, finer).otherwise(F.array("key"))
-    return _lists_to_links(posted.select("fp", F.explode(keys).alias("key")))
+    return _lists_to_links(posted.join(counts, "key").select("fp", "key", "t", "n").mapInArrow(refine, "fp long, key long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, heavy: int = 500) -> DataFrame:
