@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +65,70 @@ def candidate_pairs(texts: DataFrame, targets: DataFrame, threshold: float) -> D
     return met.where(F.call_function("levenshtein", x, t, bound(x, t, threshold)) >= 0)
 
 
-def similar_pairs(texts: DataFrame, targets: DataFrame, threshold: float) -> DataFrame:
-    """``text, target`` with ratio(text, target) of at least the threshold."""
-    return candidate_pairs(texts, targets, threshold).where(ratio("text", "target") >= threshold)
+def _counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and how often each of 32 classes of letters occurs."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+    cells = np.repeat(np.arange(len(words)), lengths) * 32 + letters
+    return lengths, np.minimum(np.bincount(cells, minlength=32 * len(words)), 65535).reshape(-1, 32).astype(np.uint16)
+
+
+def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[str, str]]:
+    """Pairs by ratio. The matched letters are at most the letters two strings share: that bound goes first."""
+    n, have = _counts(texts)
+    order = np.argsort(n, kind="stable")
+    n, have = n[order], np.ascontiguousarray(have[order].T)
+    m, want = _counts(targets)
+    out = []
+    for k, target in enumerate(targets):
+        lo = np.searchsorted(n, math.ceil(m[k] * threshold / (2 - threshold) - 1e-9))
+        hi = np.searchsorted(n, math.floor(m[k] * (2 - threshold) / threshold + 1e-9), "right")
+        shared = np.zeros(hi - lo, np.uint16)
+        for c in np.flatnonzero(want[k]).tolist():  # a vector operation for each letter the target has
+            shared += np.minimum(have[c, lo:hi], want[k, c])
+        hit = np.flatnonzero(2.0 * shared >= threshold * (n[lo:hi] + m[k]) - 1e-9)
+        matcher = SequenceMatcher(None, "", target)
+        for i in order[lo:hi][hit].tolist():
+            text = texts[i]
+            if text != target:
+                matcher.set_seq1(text)
+                if matcher.ratio() < threshold:
+                    continue
+            out.append((text, target))
+    return out
+
+
+def few_targets(targets: DataFrame, few: int) -> list[str] | None:
+    """The targets, shortest first, if there are at most ``few`` of them."""
+    rows = targets.select("target").limit(few + 1).collect()
+    return sorted({r.target for r in rows if r.target}, key=lambda t: (len(t), t)) if len(rows) <= few else None
+
+
+def similar_rows(rows: DataFrame, targets: DataFrame, threshold: float, few: int = 5000) -> DataFrame:
+    """``id, text, target`` of rows (id, text) whose text resembles a target.
+
+    Up to ``few`` targets (the size is checked) go to every batch of rows; more
+    are met by the equi-join of ``candidate_pairs`` over the distinct texts.
+    """
+    wanted = few_targets(targets, few)
+    if wanted is None:
+        pairs = candidate_pairs(rows.select("text").distinct(), targets, threshold).where(ratio("text", "target") >= threshold)
+        return rows.join(pairs, "text").select("id", "text", "target")
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
+            distinct = list({w for w in texts if w})
+            found: dict[str, list[str]] = {}
+            for text, target in _near(distinct, wanted, threshold) if distinct and wanted else []:
+                found.setdefault(text, []).append(target)
+            out = [(i, t, g) for i, t in zip(ids, texts) for g in found.get(t, ())] if found else []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], batch.schema.field("id").type), *(pa.array([o[k] for o in out], pa.string()) for k in (1, 2))], ["id", "text", "target"])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, target string")
+
+
+def similar_pairs(texts: DataFrame, targets: DataFrame, threshold: float, few: int = 5000) -> DataFrame:
+    """``text, target`` with ratio(text, target) of at least the threshold, for distinct texts."""
+    return similar_rows(texts.select(F.lit(0).alias("id"), "text"), targets, threshold, few).select("text", "target")

@@ -27,6 +27,7 @@ OTHER = "אחר"
 
 MIN_STRIPPED = 3
 STRIPPABLE = [b for b in BASES if len(b) >= MIN_STRIPPED]
+OUTSIDE = "[^\u0590-\u05bd\u05bf-\u05ff0-9a-zA-Z]+"
 WORD_CLASS = r"֐-׿0-9a-zA-Z"
 
 
@@ -56,10 +57,14 @@ def normalize_token(c: Column, strip: bool = True) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """A whole text; null stays null, a text without content becomes empty."""
-    c = F.translate(strip_marks(c), QUOTES, "")
-    c = F.regexp_replace(c, f"[{DASHES}]+", " ")
-    c = F.lower(F.trim(F.regexp_replace(c, f"[^{WORD_CLASS}]+", " ")))
+    """A whole text; null stays null, a text without content becomes empty.
+
+    Two replacements do it: marks and quotes go, then every run of other
+    characters outside the word class becomes a blank. The dashes are such
+    characters but for the maqaf, which lies inside the Hebrew range.
+    """
+    c = F.regexp_replace(c, f"[\\p{{Mn}}{QUOTES}]+", "")
+    c = F.lower(F.trim(F.regexp_replace(c, OUTSIDE, " ")))
     # only Hebrew words have prefixes or construct forms
     return F.when(c.rlike("[א-ת]"), _replace_words(c, True)).otherwise(c)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import similar_pairs
+from ..functions.similarity import similar_pairs, similar_rows
 from ..functions.text import tokens
 
 TERM_RATIO, TOKEN_RATIO, WINDOW, MIN_FUZZY = 0.86, 0.82, 4, 5
@@ -34,28 +34,36 @@ def exact_words(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """Phrases (tid, phrase; two words or more) that are a substring of the text.
 
-    The phrase's first blank, with the letter on either side, is the join key:
-    each text posts its distinct letter-blank-letter keys extended to the
-    longest side the phrases have (3 letters at most); what meets is verified.
+    A phrase lies over neighbouring words s t of a text where s ends with its
+    first word and t starts with its second (is it, if a third follows). The
+    join key is the phrase's first blank with up to three letters on either
+    side; what meets is verified on the two words, and on the text only where a
+    phrase has more than two.
     """
-    p, x = F.col("phrase"), F.col("nx")
+    p = F.col("phrase")
     two = phrases.where(F.instr(p, " ") > 1)
     left, right = F.substring_index(p, " ", 1), F.element_at(F.split(p, " "), 2)
     a, b = F.least(F.length(left), F.lit(3)), F.least(F.length(right), F.lit(3))
-    keyed = two.select("tid", "phrase", a.alias("a"), b.alias("b"), F.concat(F.right(left, a), F.lit(" "), F.substring(right, F.lit(1), b)).alias("key"))
+    keyed = two.select("tid", "phrase", left.alias("left"), right.alias("right"), a.alias("a"), b.alias("b"), F.concat(F.right(left, a), F.lit(" "), F.substring(right, F.lit(1), b)).alias("key"))
     kinds = [(r.a, r.b) for r in keyed.select("a", "b").distinct().collect()]  # nine at most
     if not kinds:
         return docs.select("id", F.lit(0).cast("long").alias("tid")).limit(0)
-    w = tokens(x)
-    n = F.size(w)
-    firsts, seconds = F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0)))
-
-    def joined(ka: int, kb: int):
-        return F.zip_with(firsts, seconds, lambda s, t: F.when((F.length(s) >= ka) & (F.length(t) >= kb), F.concat(F.right(s, F.lit(ka)), F.lit(" "), F.substring(t, 1, kb))))
-
-    posted = docs.select("id", "nx", F.explode(F.array_distinct(F.flatten(F.array(*[joined(ka, kb) for ka, kb in kinds])))).alias("key")).where("key is not null")
-    hits = posted.select("id", "key").join(keyed.select("key", "tid", "phrase"), "key").select("id", "tid", "phrase").distinct()
-    return hits.join(docs.select("id", "nx"), "id").where(x.contains(p)).select("id", "tid").distinct()
+    w = tokens(F.col("nx"))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    near = docs.select("id", F.explode(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda s, t: F.struct(s.alias("s"), t.alias("t")))).alias("p")).select("id", "p.s", "p.t")
+    s, t = F.col("s"), F.col("t")
+    hits = None
+    for ka, kb in kinds:
+        posted = near.where((F.length(s) >= ka) & (F.length(t) >= kb)).withColumn("key", F.concat(F.right(s, F.lit(ka)), F.lit(" "), F.substring(t, 1, kb)))
+        own = keyed.where((F.col("a") == ka) & (F.col("b") == kb)).drop("a", "b")
+        met = posted.join(own, "key").where(s.endswith(F.col("left")) & t.startswith(F.col("right"))).select("id", "tid", "phrase")
+        hits = met if hits is None else hits.unionByName(met)
+    hits = hits.distinct()  # type: ignore[union-attr]
+    longer = F.size(F.split(p, " ")) > 2
+    if keyed.where(longer).limit(1).count() == 0:
+        return hits.select("id", "tid")
+    checked = hits.where(longer).join(docs.select("id", "nx"), "id").where(F.col("nx").contains(p))
+    return hits.where(~longer).select("id", "tid").unionByName(checked.select("id", "tid"))
 
 
 def grams(docs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -63,7 +71,9 @@ def grams(docs: DataFrame, lengths: list[int]) -> DataFrame:
     w = tokens(F.col("nx"))
     out = None
     for n in lengths:
-        runs = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        m = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        # the slices are cut once, outside the lambda, which joins their i-th words
+        runs = F.transform(F.arrays_zip(*[F.slice(w, k + 1, m).alias(f"w{k}") for k in range(n)]), lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)]))
         one = docs.select("id", F.lit(n).alias("n"), F.explode(F.array_distinct(runs)).alias("gram"))
         out = one if out is None else out.unionByName(one)
     return out  # type: ignore[return-value]
@@ -86,12 +96,13 @@ def fuzzy_grams(docs: DataFrame, terms: DataFrame, threshold: float = TERM_RATIO
     lengths = [r.n for r in risk.select("n").distinct().collect()]
     if not lengths:
         return docs.select("id", F.lit(0).cast("long").alias("tid")).limit(0)
-    each = grams(docs, lengths)
     found = None
-    for n in lengths:
-        pairs = similar_pairs(each.where(F.col("n") == n).select(F.col("gram").alias("text")).distinct(), risk.where(F.col("n") == n).select("target").distinct(), threshold).withColumn("n", F.lit(n))
-        found = pairs if found is None else found.unionByName(pairs)
-    return each.withColumnRenamed("gram", "text").join(found, ["n", "text"]).join(risk, ["n", "target"]).select("id", "tid").distinct()
+    for n in lengths:  # few grams repeat, so they are compared where they stand
+        own = risk.where(F.col("n") == n).select("tid", "target")
+        near = similar_rows(grams(docs, [n]).select("id", F.col("gram").alias("text")), own.select("target").distinct(), threshold)
+        one = near.join(own, "target").select("id", "tid")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()  # type: ignore[union-attr]
 
 
 def term_matches(docs: DataFrame, terms: DataFrame, safe: DataFrame | None = None) -> DataFrame:

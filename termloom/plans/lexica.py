@@ -17,8 +17,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table over the cores: few row groups are few tasks. A table with splits enough is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def normalized(docs: DataFrame) -> DataFrame:

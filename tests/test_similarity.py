@@ -11,7 +11,8 @@ def test_candidates_lose_no_pair(spark):
     for t in (0.82, 0.86):
         expected = {(a, b) for a in words for b in targets if ratio_of(a, b) >= t}
         assert expected <= {tuple(r) for r in candidate_pairs(texts, wanted, t).collect()}
-        assert expected == {tuple(r) for r in similar_pairs(texts, wanted, t).collect()}
+        for few in (0, 5000):  # by the join, and by the bound on shared letters
+            assert expected == {tuple(r) for r in similar_pairs(texts, wanted, t, few).collect()}
 
 
 def test_no_targets(spark):
