@@ -117,19 +117,37 @@ def ordered_windows(docs: DataFrame, rules: DataFrame, threshold: float | None =
     """Rules (tid, normalized_phrase) whose words occur in order, each the nearest within ``window`` tokens of the one before.
 
     Greedy from every start, no backtracking. A threshold of None asks for
-    equal tokens. One-word phrases have no such match.
+    equal tokens. One-word phrases have no such match. Word pairs up to
+    ``window`` apart are joined with the rules' first two words: that settles
+    rules of two words, and only what it lets through is followed further.
     """
     w = tokens(F.col("normalized_phrase"))
-    parts = rules.where(F.size(w) > 1).select("tid", F.size(w).alias("k"), F.posexplode(w).alias("i", "target"))
-    place = docs.select("id", F.posexplode(tokens(F.col("nx"))).alias("pos", "text"))
-    targets = parts.select("target").distinct()
+    parted = rules.where(F.size(w) > 1).select("tid", F.size(w).alias("k"), w.alias("w"))
+    words = tokens(F.col("nx"))
     if threshold is None:
-        near = place.join(targets, F.col("text") == F.col("target")).select("id", "target", "pos")
+        like = None
+        firsts = parted.select("tid", "k", F.col("w")[0].alias("s"), F.col("w")[1].alias("t"))
     else:
-        pairs = similar_pairs(place.select("text").distinct(), targets, threshold)
-        near = place.join(pairs, "text").select("id", "target", "pos")
-    places = near.groupBy("id", "target").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
-    rows = places.join(parts, "target").groupBy("id", "tid", "k").agg(F.sort_array(F.collect_list(F.struct("i", "ps"))).alias("row"))
+        targets = parted.select(F.explode("w").alias("target")).distinct()
+        like = similar_pairs(doc_words(docs).select(F.col("word").alias("text")).distinct(), targets, threshold)
+        first, second = like.select(F.col("target").alias("t0"), F.col("text").alias("s")), like.select(F.col("target").alias("t1"), F.col("text").alias("t"))
+        firsts = parted.select("tid", "k", F.col("w")[0].alias("t0"), F.col("w")[1].alias("t1")).join(first, "t0").join(second, "t1").select("tid", "k", "s", "t")
+    n = F.size(words)
+    apart = [F.zip_with(F.slice(words, 1, F.greatest(n - d, F.lit(0))), F.slice(words, 1 + d, F.greatest(n - d, F.lit(0))), lambda s, t: F.struct(s.alias("s"), t.alias("t"))) for d in range(1, window + 1)]
+    pairs = docs.select("id", F.explode(F.flatten(F.array(*apart))).alias("p")).select("id", "p.s", "p.t")
+    met = pairs.join(firsts, ["s", "t"]).select("id", "tid", "k").distinct()
+    if parted.where("k > 2").limit(1).count() == 0:
+        return met.select("id", "tid")
+    return met.where("k = 2").select("id", "tid").unionByName(_followed(docs, parted, met.where("k > 2"), like, window))
+
+
+def _followed(docs: DataFrame, parted: DataFrame, met: DataFrame, like: DataFrame | None, window: int) -> DataFrame:
+    """The greedy walk for candidate (id, tid) of longer rules."""
+    parts = met.join(parted.select("tid", F.posexplode("w").alias("i", "target")), "tid")
+    place = docs.join(met.select("id").distinct(), "id", "left_semi").select("id", F.posexplode(tokens(F.col("nx"))).alias("pos", "text"))
+    near = place.withColumn("target", F.col("text")) if like is None else place.join(like, "text")
+    places = near.join(parts.select("id", "target").distinct(), ["id", "target"]).groupBy("id", "target").agg(F.sort_array(F.collect_set("pos")).alias("ps"))
+    rows = places.join(parts, ["id", "target"]).groupBy("id", "tid", "k").agg(F.sort_array(F.collect_list(F.struct("i", "ps"))).alias("row"))
     rows = rows.where(F.size("row") == F.col("k")).withColumn("ps", F.transform("row", lambda r: r["ps"]))
 
     def follow(cursor, ps):
