@@ -22,12 +22,15 @@ out of reach, so the merge runs on the contexts in which repeats can lie:
 5. Texts drop the union of their repeated windows.
 
 All comparisons are exact but for the 64-bit hash of covered bytes in step 2
-and the 128-bit hash of a window in the heavy case. Texts travel by a hash of
-their id; the exchange is reused by steps 3 and 5.
+and the 128-bit hash of a window in the heavy case. Texts travel by ``row``, a
+64-bit hash of id and text that is the same whenever they are read again; the
+exchange is reused by steps 3 and 5.
 
 Defined cases: null texts are empty; texts shorter than a window lose nothing;
-overlaps count; matches never cross texts; rows that share a doc_id count as one
-document, they do not remove one another; a null doc_id comes before all others.
+overlaps count; matches never cross texts; ids need not be unique: rows that
+share an id and a text count as one document and do not remove one another, rows
+that share an id but not a text are documents in order of ``row``; a null doc_id
+comes before all others.
 """
 
 from __future__ import annotations
@@ -49,11 +52,11 @@ BACK = U(pow(int(BASE), -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
 NOBODY = -(1 << 63)
 #: Columns of an anchor list and their types.
-ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
-ASKED = [("kind", "u1"), ("h", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
-CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
-WINDOWS = [("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("start", "<i4")]
-RANGES = [("doc", "<i8"), ("start", "<i4"), ("end", "<i4")]
+ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
+ASKED = [("kind", "u1"), ("h", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
+CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
+WINDOWS = [("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")]
+RANGES = [("row", "<i8"), ("start", "<i4"), ("end", "<i4")]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -74,8 +77,8 @@ def xx_long(v: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
-    return xx_long(doc).view(np.int64) % shards
+def shard_of(row: np.ndarray, shards: int) -> np.ndarray:
+    return xx_long(row).view(np.int64) % shards
 
 
 def packed(fields, cols: dict[str, np.ndarray]) -> bytes:
@@ -105,7 +108,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def anchors(docs: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
+def anchors(docs: np.ndarray, rows: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
     """Anchor list of some texts laid end to end."""
     sizes = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
@@ -139,19 +142,19 @@ def anchors(docs: np.ndarray, texts: list[bytes]) -> dict[str, np.ndarray]:
     lo, hi = a - s2, a - s1
     covered = (total[s2 + WINDOW] - total[s1]) * back[s1]
     c = mix(covered ^ (lo.astype(np.uint64) << U(8)) ^ hi.astype(np.uint64))
-    return {"h": gram[a] >> U(16), "c": c, "doc": docs[o], "pos": a - first[o], "lo": lo, "hi": hi}
+    return {"h": gram[a] >> U(16), "c": c, "doc": docs[o], "row": rows[o], "pos": a - first[o], "lo": lo, "hi": hi}
 
 
-def runs_of(docs: list[int], texts: list[bytes]):
+def runs_of(docs: list[int], rows: list[int], texts: list[bytes]):
     """Lists of texts of about CHUNK bytes; a longer text stands alone."""
     at = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > CHUNK:
-            yield np.array(docs[at:i], np.int64), texts[at:i]
+            yield np.array(docs[at:i], np.int64), np.array(rows[at:i], np.int64), texts[at:i]
             at, size = i, 0
         size += len(t)
     if at < len(texts):
-        yield np.array(docs[at:], np.int64), texts[at:]
+        yield np.array(docs[at:], np.int64), np.array(rows[at:], np.int64), texts[at:]
 
 
 def buckets_of(fields, cols: dict[str, np.ndarray], key: np.ndarray, count: int):
@@ -179,8 +182,8 @@ def post(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
         for batch in sliced(batches):
-            for ids, texts in runs_of(batch.column("doc").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]):
-                found.append(anchors(ids, texts))
+            for ids, own, texts in runs_of(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]):
+                found.append(anchors(ids, own, texts))
                 size += sum(map(len, texts))
                 if size > BLOCK:
                     yield from flush()
@@ -188,7 +191,7 @@ def post(docs: DataFrame, buckets: int) -> DataFrame:
         if found:
             yield from flush()
 
-    return docs.select("doc", "text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select("doc", "row", "text").mapInArrow(run, "bucket long, blob binary")
 
 
 def ask(posted: DataFrame, shards: int) -> DataFrame:
@@ -196,13 +199,13 @@ def ask(posted: DataFrame, shards: int) -> DataFrame:
 
     def merge(group: pa.Table) -> pa.Table:
         x = joined(ANCHOR, group.column("blob").to_pylist())
-        order = np.lexsort((x["pos"], x["doc"], x["c"], x["h"]))
+        order = np.lexsort((x["pos"], x["row"], x["doc"], x["c"], x["h"]))
         x = {k: v[order] for k, v in x.items()}
         h, c = x["h"], x["c"]
         new_h = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         form = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(c, prepend=~c[:1]) != 0))
         head = form[np.searchsorted(form, np.arange(len(h)), "right") - 1]
-        later = (x["doc"] != x["doc"][head]) | (x["pos"] != x["pos"][head])
+        later = (x["row"] != x["row"][head]) | (x["pos"] != x["pos"][head])
         forms = np.diff(np.append(np.searchsorted(form, new_h), len(form)))  # of each h
         many = np.repeat(forms, np.diff(np.append(new_h, len(h))))
         is_form = np.zeros(len(h), bool)
@@ -210,17 +213,14 @@ def ask(posted: DataFrame, shards: int) -> DataFrame:
         kind = np.where(later, 0, np.where(many > HEAVY, 2, 1)).astype(np.uint8)
         keep = later | (is_form & (many > 1))
         x = {k: v[keep] for k, v in x.items()} | {"kind": kind[keep]}
-        rows = list(buckets_of(ASKED, x, shard_of(x["doc"], shards).astype(np.uint64), shards))
+        rows = list(buckets_of(ASKED, x, shard_of(x["row"], shards).astype(np.uint64), shards))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return posted.groupBy("bucket").applyInArrow(merge, "shard long, blob binary")
 
 
-def texts_of(docs: pa.Table) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for d, t in zip(docs.column("doc").to_pylist(), docs.column("text").to_pylist()):
-        out.setdefault(d, []).append((t or "").encode())
-    return out
+def texts_of(docs: pa.Table) -> dict[int, bytes]:
+    return {d: (t or "").encode() for d, t in zip(docs.column("row").to_pylist(), docs.column("text").to_pylist())}
 
 
 def cut(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
@@ -232,24 +232,24 @@ def cut(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
         if right.num_rows and left.num_rows:
             x = joined(ASKED, right.column("blob").to_pylist())
             known = x["kind"] == 0
-            ranges = {"doc": x["doc"][known], "start": x["pos"][known] - x["hi"][known], "end": x["pos"][known] - x["lo"][known] + WINDOW}
-            rows += [(b, 0, blob, b"") for b, blob in buckets_of(RANGES, ranges, xx_long(ranges["doc"]), buckets)]
+            ranges = {"row": x["row"][known], "start": x["pos"][known] - x["hi"][known], "end": x["pos"][known] - x["lo"][known] + WINDOW}
+            rows += [(b, 0, blob, b"") for b, blob in buckets_of(RANGES, ranges, xx_long(ranges["row"]), buckets)]
             texts = texts_of(left)
             some = np.flatnonzero(x["kind"] == 1)
             some = some[np.argsort(x["h"][some] % U(buckets), kind="stable")]
             part = (x["h"][some] % U(buckets)).astype(np.int64)
             for b in np.unique(part).tolist():
                 own = some[part == b]
-                body = [texts[d][0][p - hi : p - lo + WINDOW] for d, p, lo, hi in zip(*(x[k][own].tolist() for k in ("doc", "pos", "lo", "hi")))]
+                body = [texts[r][p - hi : p - lo + WINDOW] for r, p, lo, hi in zip(*(x[k][own].tolist() for k in ("row", "pos", "lo", "hi")))]
                 rows.append((b, 1, packed(CONTEXT, {k: x[k][own] for k, _ in CONTEXT}), b"".join(body)))
             heavy = np.flatnonzero(x["kind"] == 2)
-            got: list[tuple[bytes, int, int]] = []
-            for d, p, lo, hi in zip(*(x[k][heavy].tolist() for k in ("doc", "pos", "lo", "hi"))):
-                t = texts[d][0]
-                got += [(hashlib.blake2b(t[s : s + WINDOW], digest_size=16).digest(), d, s) for s in range(p - hi, p - lo + 1)]
+            got: list[tuple[bytes, int, int, int]] = []
+            for d, r, p, lo, hi in zip(*(x[k][heavy].tolist() for k in ("doc", "row", "pos", "lo", "hi"))):
+                t = texts[r]
+                got += [(hashlib.blake2b(t[s : s + WINDOW], digest_size=16).digest(), d, r, s) for s in range(p - hi, p - lo + 1)]
             if got:
                 w = np.frombuffer(b"".join(g[0] for g in got), "<u8").reshape(-1, 2)
-                cols = {"w1": w[:, 0], "w2": w[:, 1], "doc": np.array([g[1] for g in got], np.int64), "start": np.array([g[2] for g in got], np.int64)}
+                cols = {"w1": w[:, 0], "w2": w[:, 1], "doc": np.array([g[1] for g in got], np.int64), "row": np.array([g[2] for g in got], np.int64), "start": np.array([g[3] for g in got], np.int64)}
                 rows += [(b, 2, blob, b"") for b, blob in buckets_of(WINDOWS, cols, cols["w1"], buckets)]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "blob", "bytes"])
 
@@ -267,7 +267,7 @@ def interleave(x: dict[str, np.ndarray], body: bytes) -> dict[str, np.ndarray]:
     sizes = WINDOW + hi - lo
     begin = np.cumsum(sizes) - sizes
     raw = np.frombuffer(body, np.uint8)
-    order = np.lexsort((x["pos"], x["doc"], x["h"]))
+    order = np.lexsort((x["pos"], x["row"], x["doc"], x["h"]))
     h = x["h"][order]
     cuts = np.append(np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0), len(h))
     out: list[dict[str, np.ndarray]] = []
@@ -284,7 +284,7 @@ def interleave(x: dict[str, np.ndarray], body: bytes) -> dict[str, np.ndarray]:
 
 def _interleaved(x: dict[str, np.ndarray], raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     m, left = len(begin), SPAN - 1
-    lo, hi, doc, pos = x["lo"].astype(np.int64), x["hi"].astype(np.int64), x["doc"], x["pos"].astype(np.int64)
+    lo, hi, own, pos = x["lo"].astype(np.int64), x["hi"].astype(np.int64), x["row"], x["pos"].astype(np.int64)
     grid = np.full((left + WINDOW, m), 256, np.int16)  # row: offset from the anchor plus left; 256: outside
     col = np.repeat(np.arange(m), sizes)
     inner = np.arange(len(col)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -305,11 +305,11 @@ def _interleaved(x: dict[str, np.ndarray], raw: np.ndarray, begin: np.ndarray, s
             key = cls[rows] * (m + 1) + right[WINDOW - a][rows]
             _, first, inv = np.unique(key, return_index=True, return_inverse=True)
             head = rows[first[inv]]  # rows lie in order of document and place
-            dup[rows, a + 1] = (doc[rows] != doc[head]) | (pos[rows] != pos[head])
+            dup[rows, a + 1] = (own[rows] != own[head]) | (pos[rows] != pos[head])
     edge = np.diff(dup.astype(np.int8), axis=1)
     row, a1 = np.nonzero(edge == 1)
     _, a2 = np.nonzero(edge == -1)
-    return {"doc": doc[row], "start": pos[row] - (a2 - 1), "end": pos[row] - a1 + WINDOW}
+    return {"row": own[row], "start": pos[row] - (a2 - 1), "end": pos[row] - a1 + WINDOW}
 
 
 def settle(cuts: DataFrame, shards: int) -> DataFrame:
@@ -323,33 +323,33 @@ def settle(cuts: DataFrame, shards: int) -> DataFrame:
         parts.append(interleave(joined(CONTEXT, pick(1)), b"".join(bodies[i] for i in np.flatnonzero(kind == 1))))
         w = joined(WINDOWS, pick(2))
         if len(w["w1"]):
-            order = np.lexsort((w["start"], w["doc"], w["w2"], w["w1"]))
+            order = np.lexsort((w["start"], w["row"], w["doc"], w["w2"], w["w1"]))
             w = {k: v[order] for k, v in w.items()}
             head = np.flatnonzero((np.diff(w["w1"], prepend=~w["w1"][:1]) != 0) | (np.diff(w["w2"], prepend=~w["w2"][:1]) != 0))
             own = head[np.searchsorted(head, np.arange(len(order)), "right") - 1]
-            later = (w["doc"] != w["doc"][own]) | (w["start"] != w["start"][own])
-            parts.append({"doc": w["doc"][later], "start": w["start"][later], "end": w["start"][later] + WINDOW})
+            later = (w["row"] != w["row"][own]) | (w["start"] != w["start"][own])
+            parts.append({"row": w["row"][later], "start": w["start"][later], "end": w["start"][later] + WINDOW})
         x = {k: np.concatenate([p[k] for p in parts]) for k, _ in RANGES}
         x = union_of(x)
-        rows = list(buckets_of(RANGES, x, shard_of(x["doc"], shards).astype(np.uint64), shards))
+        rows = list(buckets_of(RANGES, x, shard_of(x["row"], shards).astype(np.uint64), shards))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     return cuts.groupBy("bucket").applyInArrow(run, "shard long, blob binary")
 
 
 def union_of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Ranges merged where they touch, by document and start."""
-    if not len(x["doc"]):
+    """Ranges merged where they touch, by row and start."""
+    if not len(x["row"]):
         return x
-    order = np.lexsort((x["start"], x["doc"]))
-    doc, start, end = (x[k][order].astype(np.int64) for k in ("doc", "start", "end"))
-    # running maximum of ends within a document: lift each document above the one before
-    lift = np.cumsum(np.diff(doc, prepend=doc[:1]) != 0) * (1 << 33)
+    order = np.lexsort((x["start"], x["row"]))
+    row, start, end = (x[k][order].astype(np.int64) for k in ("row", "start", "end"))
+    # running maximum of ends within a row: lift each row above the one before
+    lift = np.cumsum(np.diff(row, prepend=row[:1]) != 0) * (1 << 33)
     reach = np.maximum.accumulate(end + lift)
     new = np.append(True, (start + lift)[1:] > reach[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return {"doc": doc[first], "start": start[first], "end": (reach - lift)[last]}
+    last = np.append(first[1:], len(row)) - 1
+    return {"row": row[first], "start": start[first], "end": (reach - lift)[last]}
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -357,14 +357,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     shards = buckets = 2 * n
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), F.col("text").cast("string").alias("text"))
-    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(shards)))
+    keyed = keyed.withColumn("row", F.xxhash64("doc", "text"))
+    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     ranges = settle(cut(dealt, ask(post(keyed, buckets), shards), buckets), shards)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
         x = union_of(joined(RANGES, right.column("blob").to_pylist() if right.num_rows else []))
-        docs, spans, kept, size = left.column("doc").to_pylist(), [], [], []
-        lo, hi = np.searchsorted(x["doc"], docs, "left").tolist(), np.searchsorted(x["doc"], docs, "right").tolist()
+        rows, spans, kept, size = left.column("row").to_pylist(), [], [], []
+        lo, hi = np.searchsorted(x["row"], rows, "left").tolist(), np.searchsorted(x["row"], rows, "right").tolist()
         start, end = x["start"].tolist(), x["end"].tolist()
         for t, i, j in zip(left.column("text").to_pylist(), lo, hi):
             raw = (t or "").encode()
@@ -373,7 +374,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
             spans.append([{"start": s, "end": e} for s, e in own])
             size.append(len(raw))
-        ids = [None if d == NOBODY else d for d in docs]
+        ids = [None if d == NOBODY else d for d in left.column("doc").to_pylist()]
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
     return dealt.groupBy("shard").cogroup(ranges.groupBy("shard")).applyInArrow(drop, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
