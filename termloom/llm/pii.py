@@ -1,7 +1,7 @@
 """Personal data: fixed patterns plus bootstrapped contextual extraction.
 
 One pass over the texts finds the base entities (email, ip, card, phone) and
-every other identifier-shaped token, each with the one and two words before it.
+every other identifier-shaped token or row of digit groups, each with the one and two words before it.
 Base entities are seeds: the contexts they stand in are lexical patterns. Spark
 then scores the bipartite graph of patterns and instances, in turn, ``ROUNDS``
 times: a pattern is worth the share of its distinct instances that are known
@@ -40,6 +40,8 @@ MARK = re.compile(r"[0-9@]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TOKEN = re.compile(r"\S+")
 HIDDEN_EMAIL = re.compile(r"\b[\w.+-]+ ?(?:\(at\)|\[at\]| at ) ?[\w-]+ ?(?:\(dot\)|\[dot\]| dot ) ?\w+", re.I)
+#: Groups of digits joined by blanks, brackets or hyphens.
+SPACED = re.compile(r"(?<!\w)[(\[]?[0-9]++(?:[ ()\[\]-]{1,3}[0-9]++)+(?!\w)")
 TRIM = "\"'()[]{}<>,;:!?.|*#$%&="
 
 
@@ -133,8 +135,14 @@ def contexts(text: str, start: int) -> list[str]:
     return out
 
 
+def may_hide(text: str) -> bool:
+    """Whether HIDDEN_EMAIL can match: it needs an 'at' and a 'dot', in any case."""
+    low = text.lower()
+    return any(x in low for x in ("(dot)", "[dot]", " dot ")) and any(x in low for x in ("(at)", "[at]", " at "))
+
+
 def others(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-shaped tokens that touch no base span."""
+    """Identifier-shaped tokens and groups of digits that touch no base span; of those that overlap, the first and longest."""
     out, end = [], -1
     taken = sorted((s, e) for _, s, e in spans)
     i = 0
@@ -154,9 +162,12 @@ def others(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]
             e -= 1
         if 6 <= e - s <= 100 and ("@" in text[s:e] or sum(c.isdigit() for c in text[s:e]) >= 5):
             shaped.append((s, e))
-    if "at" in text or "AT" in text:
+    for m in SPACED.finditer(text):
+        if m.end() - m.start() <= 100 and sum(c.isdigit() for c in m.group()) >= 5:
+            shaped.append(m.span())
+    if may_hide(text):
         shaped += [m.span() for m in HIDDEN_EMAIL.finditer(text)]
-    for s, e in sorted(shaped):
+    for s, e in sorted(shaped, key=lambda x: (x[0], -x[1])):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
         if (i == len(taken) or taken[i][0] >= e) and (not out or out[-1][1] <= s):
@@ -180,7 +191,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 bases.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
                 every = []
                 if text:
-                    more = others(text, spans) if MARK.search(text) or "(at)" in text or "[at]" in text or " dot " in text else []
+                    more = others(text, spans) if MARK.search(text) or may_hide(text) else []
                     every = [(k, s, e) for k, s, e in spans] + [("", s, e) for s, e in more]
                 seens.append([{"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "patterns": contexts(text, s)} for k, s, e in every])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bases, pa.list_(span)), pa.array(seens, pa.list_(seen))], ["doc_id", "base", "seen"])
