@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) a local one is used.
+    Only a local session that names none (tests, a laptop) gets a local one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back. The driver's end removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,12 +55,17 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether a row is held out; a null id never is."""
+    return F.coalesce(id_crc() % modulus == remainder, F.lit(False)).alias("held_out")
+
+
 def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components by alternating large-star and small-star steps, until nothing changes.
 
     ``edges`` has long columns ``a`` and ``b``; returns ``node, root`` (root:
     the smallest node of the component) for every node that has an edge. Hubs
@@ -65,7 +74,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -78,6 +87,4 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
