@@ -1,36 +1,44 @@
-"""Removal of byte strings that also start earlier, by merging shards' sorted contexts.
-
-A window is a string of ``WINDOW`` bytes. Sorting every suffix of the corpus is
-out of reach, so the merge runs on the contexts in which repeats can lie:
-
-1. Each block of texts (a shard) picks for every window the least hash among
-   its ``GRAM``-byte grams, an anchor that equal windows choose alike, and
-   posts each anchor once with the range of windows it stands for and a hash of
-   the bytes they cover.
-2. A bucket of anchor hashes merges the shards' sorted lists. An anchor whose
-   covered bytes occurred before has only repeated windows; one whose hash has
-   a single form has none. Where forms differ their bytes are asked for.
-3. Texts cut the contexts asked for.
-4. The contexts of an anchor hash, lying aligned at the anchor, are interleaved:
-   starting as one block, each round compares one more byte, to the right and
-   then to the left, and splits blocks whose bytes differ (iterative interleave
-   refinement; the round of a split is the common prefix, nothing is sorted
-   anew). Two contexts in one block after the rounds of a window hold the same
-   window: the earliest keeps it. Anchors with over ``HEAVY`` forms, such as
-   the edges of a passage that a great many texts hold, send the windows
-   themselves, so no group is larger than that.
+"""Removal of byte strings that also start earlier, by merging shards' Burrows-Wheeler transforms.
+
+A window is a string of ``WINDOW`` bytes. One transform of the whole corpus is
+out of reach, so transforms are made of the contexts in which repeats can lie,
+dealt so that equal windows meet:
+
+1. Every window picks the least hash among its ``GRAM``-byte grams, an anchor
+   that equal windows choose alike. Each block of texts posts its anchors with
+   the range of windows they stand for (a context: the bytes those windows
+   cover) and a hash of those bytes. Contexts that a block holds twice are
+   compared there, and only the earliest is posted.
+2. A bucket of anchor hashes tells which contexts to cut: none of an anchor
+   that occurs once; of the others, those whose byte hash is new (members) and
+   those whose byte hash occurred before (copies).
+3. Texts cut their contexts. For each bucket a shard of texts sends the
+   Burrows-Wheeler transform of its members, and the bytes of its copies.
+4. A bucket inverts the transforms to learn which text and place each entry is
+   and compares every copy with the bytes it claims to equal; one that differs
+   joins the members. The transforms are then merged by interleave refinement
+   (Holt and McMillan): round k holds all entries interleaved by their first k
+   bytes, and a stable pass over the byte before each entry gives round k + 1.
+   A block boundary that appears in round k is a common prefix of k - 1.
+   Entries alone in their block stay alone, as do the entries before them, so
+   they leave the merge. What is left after ``WINDOW`` rounds are the repeated
+   intervals: the earliest entry of each keeps its window. No suffix is sorted
+   anew.
 5. Texts drop the union of their repeated windows.
 
-All comparisons are exact but for the 64-bit hash of covered bytes in step 2
-and the 128-bit hash of a window in the heavy case. Texts travel by ``row``, a
-64-bit hash of id and text that is the same whenever they are read again; the
-exchange is reused by steps 3 and 5.
+Bytes decide everything, with one exception: anchors with over ``HEAVY``
+different contexts, such as the edges of a passage that a great many texts hold,
+send BLAKE2b hashes (128 bits) of their single windows, dealt by hash, so that
+no bucket has to hold them together. Texts travel by ``row``, a 64-bit hash of
+id and text that is the same whenever they are read again; the exchange is
+reused by steps 3 and 5. The number of buckets and shards follows the bytes of
+the input (``SHARE`` each).
 
 Defined cases: null texts are empty; texts shorter than a window lose nothing;
 overlaps count; matches never cross texts; ids need not be unique: rows that
 share an id and a text count as one document and do not remove one another, rows
 that share an id but not a text are documents in order of ``row``; a null doc_id
-comes before all others.
+comes before all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,19 +52,22 @@ from pyspark.sql import functions as F
 
 from .common import partitions, sliced, table
 
-WINDOW, GRAM, HEAVY, BLOCK, CHUNK = 100, 32, 2000, 12 << 20, 2 << 20
+WINDOW, GRAM, HEAVY, BLOCK, CHUNK, SHARE = 100, 32, 2000, 12 << 20, 2 << 20, 8 << 20
 SPAN = WINDOW - GRAM + 1  # grams of a window
+END = 255  # ends a context in its transform; no byte of UTF-8
 U = np.uint64
 BASE = U(0x5851F42D4C957F2D)
 BACK = U(pow(int(BASE), -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
 NOBODY = -(1 << 63)
-#: Columns of an anchor list and their types.
+#: Columns of packed lists and their types.
 ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
-ASKED = [("kind", "u1"), ("h", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
-CONTEXT = [("h", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
+ASKED = [("kind", "u1"), *ANCHOR]
 WINDOWS = [("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")]
 RANGES = [("row", "<i8"), ("start", "<i4"), ("end", "<i4")]
+#: What is asked of a context (a sum; 0: a copy), and what a row of step 3 holds.
+MEMBER, HASHED, MODEL = 1, 2, 4
+KNOWN, COPIES, MODELS, MEMBERS, HASHES = range(5)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -167,174 +178,307 @@ def buckets_of(fields, cols: dict[str, np.ndarray], key: np.ndarray, count: int)
         yield i, packed(fields, {k: v[cut[i] : cut[i + 1]] for k, v in cols.items()})
 
 
+def body(texts: dict[int, bytes], x: dict[str, np.ndarray], own: np.ndarray) -> list[bytes]:
+    """Bytes of contexts."""
+    return [texts[r][p - hi : p - lo + WINDOW] for r, p, lo, hi in zip(*(x[k][own].tolist() for k in ("row", "pos", "lo", "hi")))]
+
+
+def covered(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The ranges that contexts cover, merged where they touch."""
+    pos = x["pos"].astype(np.int64)
+    return union_of({"row": x["row"], "start": pos - x["hi"], "end": pos - x["lo"] + WINDOW})
+
+
+def changes(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before; the first does."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def firsts(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Contexts by anchor, byte hash and place; the first of each (anchor, byte hash), and which stand elsewhere than their first."""
+    order = np.lexsort((x["pos"], x["row"], x["doc"], x["c"], x["h"]))
+    x = {k: v[order] for k, v in x.items()}
+    form = np.flatnonzero(changes(x["h"], x["c"]))
+    head = form[np.searchsorted(form, np.arange(len(order)), "right") - 1]
+    return x, head, (x["row"] != x["row"][head]) | (x["pos"] != x["pos"][head])
+
+
 def post(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step 1: ``bucket, blob`` of anchors."""
+    """Step 1: ``bucket, known, blob``: anchors, and ranges that repeat within a block."""
 
     def run(batches):
         found: list[dict[str, np.ndarray]] = []
+        texts: dict[int, bytes] = {}
         size = 0
 
         def flush():
-            cols = {k: np.concatenate([f[k] for f in found]) for k, _ in ANCHOR}
-            order = np.argsort(cols["h"], kind="stable")
-            rows = list(buckets_of(ANCHOR, {k: v[order] for k, v in cols.items()}, cols["h"][order], buckets))
+            x, head, later = firsts({k: np.concatenate([f[k] for f in found]) for k, _ in ANCHOR})
+            at = np.flatnonzero(later)
+            same = np.array([s == t for s, t in zip(body(texts, x, at), body(texts, x, head[at]))], bool)
+            at = at[same]
+            x, copies = {k: np.delete(v, at) for k, v in x.items()}, {k: v[at] for k, v in x.items()}
+            rows = [(b, False, blob) for b, blob in buckets_of(ANCHOR, x, x["h"], buckets)]
+            if len(at):
+                ranges = covered(copies)
+                rows.append((int(xx_long(ranges["row"][:1])[0] % U(buckets)), True, packed(RANGES, ranges)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["bucket", "known", "blob"])
 
         for batch in sliced(batches):
-            for ids, own, texts in runs_of(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]):
-                found.append(anchors(ids, own, texts))
-                size += sum(map(len, texts))
+            for ids, own, part in runs_of(batch.column("doc").to_pylist(), batch.column("row").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]):
+                found.append(anchors(ids, own, part))
+                texts.update(zip(own.tolist(), part))
+                size += sum(map(len, part))
                 if size > BLOCK:
                     yield from flush()
-                    found, size = [], 0
+                    found, texts, size = [], {}, 0
         if found:
             yield from flush()
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "bucket long, blob binary")
+    return docs.select("doc", "row", "text").mapInArrow(run, "bucket long, known boolean, blob binary")
 
 
-def ask(posted: DataFrame, shards: int) -> DataFrame:
-    """Step 2: ``shard, blob``: windows known to repeat (kind 0), contexts to cut (1), windows to hash (2)."""
+def by_shard(shards: int, kind: list[bool], lists) -> pa.Table:
+    rows = [(s, k, blob) for k, (fields, x) in zip(kind, lists) for s, blob in buckets_of(fields, x, shard_of(x["row"], shards).astype(np.uint64), shards)]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.binary()))], ["shard", "known", "blob"])
 
-    def merge(group: pa.Table) -> pa.Table:
-        x = joined(ANCHOR, group.column("blob").to_pylist())
-        order = np.lexsort((x["pos"], x["row"], x["doc"], x["c"], x["h"]))
-        x = {k: v[order] for k, v in x.items()}
-        h, c = x["h"], x["c"]
-        new_h = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-        form = np.flatnonzero((np.diff(h, prepend=~h[:1]) != 0) | (np.diff(c, prepend=~c[:1]) != 0))
-        head = form[np.searchsorted(form, np.arange(len(h)), "right") - 1]
-        later = (x["row"] != x["row"][head]) | (x["pos"] != x["pos"][head])
-        forms = np.diff(np.append(np.searchsorted(form, new_h), len(form)))  # of each h
-        many = np.repeat(forms, np.diff(np.append(new_h, len(h))))
-        is_form = np.zeros(len(h), bool)
-        is_form[form] = True
-        kind = np.where(later, 0, np.where(many > HEAVY, 2, 1)).astype(np.uint8)
-        keep = later | (is_form & (many > 1))
-        x = {k: v[keep] for k, v in x.items()} | {"kind": kind[keep]}
-        rows = list(buckets_of(ASKED, x, shard_of(x["row"], shards).astype(np.uint64), shards))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    return posted.groupBy("bucket").applyInArrow(merge, "shard long, blob binary")
+def parted(group: pa.Table, column: str) -> dict:
+    """Row numbers of a group by the value of a column."""
+    out: dict = {}
+    for i, k in enumerate(group.column(column).to_pylist()):
+        out.setdefault(k, []).append(i)
+    return out
+
+
+def ask(posted: DataFrame, shards: int, parts: int) -> DataFrame:
+    """Step 2: ``shard, known, blob``: contexts to cut, and the ranges already known."""
+
+    def merge(group: pa.Table) -> pa.Table:
+        blobs, part = group.column("blob").to_pylist(), parted(group, "known")
+        x, _, copy = firsts(joined(ANCHOR, [blobs[i] for i in part.get(False, [])]))
+        new = changes(x["h"], x["c"])
+        anchor = np.cumsum(changes(x["h"])) - 1
+        form = np.cumsum(new) - 1
+        forms = np.bincount(anchor[new], minlength=1)[anchor] if len(new) else np.zeros(0, np.int64)
+        copied = np.bincount(form, copy, 1)[form] > 0 if len(new) else copy
+        kind = np.where(forms > HEAVY, HASHED, np.where(forms > 1, MEMBER, 0))
+        kind += np.where(copied & (kind != MEMBER), MODEL, 0)
+        kind = np.where(copy, 0, kind)
+        keep = copy | (new & (kind > 0))
+        x = {k: v[keep] for k, v in (x | {"kind": kind.astype(np.uint8)}).items()}
+        return by_shard(shards, [False, True], [(ASKED, x), (RANGES, joined(RANGES, [blobs[i] for i in part.get(True, [])]))])
+
+    return posted.repartition(parts, "bucket").groupBy("bucket").applyInArrow(merge, "shard long, known boolean, blob binary")
 
 
 def texts_of(docs: pa.Table) -> dict[int, bytes]:
     return {d: (t or "").encode() for d, t in zip(docs.column("row").to_pylist(), docs.column("text").to_pylist())}
 
 
+def laid(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings as rows of a grid filled up with END, and their lengths."""
+    size = np.array([len(b) for b in bodies], np.int64)
+    grid = np.full((len(bodies), width), END, np.uint8)
+    grid[np.repeat(np.arange(len(bodies)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer(b"".join(bodies), np.uint8)
+    return grid, size
+
+
+def transforms(bodies: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Burrows-Wheeler transforms of strings, one for each group, end to end, and the group of each entry.
+
+    Strings lie in order of group. Prefix doubling from eight bytes on, over
+    what is still tied; equal suffixes stay in order of their strings.
+    """
+    grid, size = laid(bodies, max(map(len, bodies)) + 9)
+    entries = size + 1
+    begin = np.cumsum(entries) - entries
+    n = int(entries.sum())
+    string = np.repeat(np.arange(len(bodies)), entries)
+    offset = np.arange(n) - begin[string]
+    key = np.zeros((len(bodies), grid.shape[1] - 8), np.uint64)
+    for i in range(8):
+        key = (key << U(8)) | grid[:, i : i + key.shape[1]]
+    key = key[string, offset]
+    order = np.lexsort((key, group[string]))
+    first = changes(key[order], group[string][order])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    step, longest = 8, int(size.max())
+    while step <= longest:
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))  # places in order
+        if not len(tied):
+            break
+        own = order[tied]
+        ahead = np.where(offset[own] + step <= size[string[own]], rank[np.minimum(own + step, n - 1)], -1)
+        again = np.lexsort((ahead, rank[own]))
+        own, ahead = own[again], ahead[again]
+        order[tied] = own
+        new = changes(rank[own], ahead)
+        first[tied] = new
+        rank[own] = tied[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        step *= 2
+    before = np.where(offset > 0, grid[string, np.maximum(offset - 1, 0)], np.uint8(END))
+    return before[order], group[string[order]]
+
+
 def cut(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Step 3: ``bucket, kind, blob, bytes``."""
     schema = "bucket long, kind int, blob binary, bytes binary"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes, bytes]] = []
-        if right.num_rows and left.num_rows:
-            x = joined(ASKED, right.column("blob").to_pylist())
-            known = x["kind"] == 0
-            ranges = {"row": x["row"][known], "start": x["pos"][known] - x["hi"][known], "end": x["pos"][known] - x["lo"][known] + WINDOW}
-            rows += [(b, 0, blob, b"") for b, blob in buckets_of(RANGES, ranges, xx_long(ranges["row"]), buckets)]
-            texts = texts_of(left)
-            some = np.flatnonzero(x["kind"] == 1)
-            some = some[np.argsort(x["h"][some] % U(buckets), kind="stable")]
-            part = (x["h"][some] % U(buckets)).astype(np.int64)
-            for b in np.unique(part).tolist():
-                own = some[part == b]
-                body = [texts[r][p - hi : p - lo + WINDOW] for r, p, lo, hi in zip(*(x[k][own].tolist() for k in ("row", "pos", "lo", "hi")))]
-                rows.append((b, 1, packed(CONTEXT, {k: x[k][own] for k, _ in CONTEXT}), b"".join(body)))
-            heavy = np.flatnonzero(x["kind"] == 2)
-            got: list[tuple[bytes, int, int, int]] = []
-            for d, r, p, lo, hi in zip(*(x[k][heavy].tolist() for k in ("doc", "row", "pos", "lo", "hi"))):
-                t = texts[r]
-                got += [(hashlib.blake2b(t[s : s + WINDOW], digest_size=16).digest(), d, r, s) for s in range(p - hi, p - lo + 1)]
-            if got:
-                w = np.frombuffer(b"".join(g[0] for g in got), "<u8").reshape(-1, 2)
-                cols = {"w1": w[:, 0], "w2": w[:, 1], "doc": np.array([g[1] for g in got], np.int64), "row": np.array([g[2] for g in got], np.int64), "start": np.array([g[3] for g in got], np.int64)}
-                rows += [(b, 2, blob, b"") for b, blob in buckets_of(WINDOWS, cols, cols["w1"], buckets)]
+        blobs, part = right.column("blob").to_pylist(), parted(right, "known")
+        known = union_of(joined(RANGES, [blobs[i] for i in part.get(True, [])]))
+        if len(known["row"]):
+            rows.append((int(xx_long(known["row"][:1])[0] % U(buckets)), KNOWN, packed(RANGES, known), b""))
+        x = joined(ASKED, [blobs[i] for i in part.get(False, [])])
+        texts = texts_of(left)
+        bucket = (x["h"] % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        x, bucket = {k: v[order] for k, v in x.items()}, bucket[order]
+
+        def pieces(own: np.ndarray):
+            """Contexts of whole buckets, a few thousand together; a bucket with more gives several."""
+            at = 0
+            while at < len(own):
+                to = min(len(own), at + 8192)
+                edge = np.searchsorted(bucket[own], bucket[own[to - 1]], "left") if to < len(own) else to
+                to = int(edge) if edge > at else to
+                yield own[at:to]
+                at = to
+
+        for kind, want in ((COPIES, x["kind"] == 0), (MODELS, x["kind"] & MODEL > 0), (MEMBERS, x["kind"] & MEMBER > 0)):
+            for own in pieces(np.flatnonzero(want)):
+                bodies = body(texts, x, own)
+                if kind == MEMBERS:
+                    bwt, of = transforms(bodies, bucket[own])
+                    sizes = np.cumsum([len(b) + 1 for b in bodies])
+                else:
+                    bwt, of = np.frombuffer(b"".join(bodies), np.uint8), None
+                    sizes = np.cumsum([len(b) for b in bodies])
+                edges = np.append(np.flatnonzero(changes(bucket[own])), len(own)).tolist()
+                for s, e in zip(edges, edges[1:]):
+                    lo = int(sizes[s - 1]) if s else 0
+                    rows.append((int(bucket[own[s]]), kind, packed(ANCHOR, {k: x[k][own[s:e]] for k, _ in ANCHOR}), bwt[lo : int(sizes[e - 1])].tobytes()))
+        got: list[tuple[bytes, int, int, int]] = []
+        heavy = np.flatnonzero(x["kind"] & HASHED)
+        for d, p, hi, t, r in zip(*(x[k][heavy].tolist() for k in ("doc", "pos", "hi")), body(texts, x, heavy), x["row"][heavy].tolist()):
+            got += [(hashlib.blake2b(t[s : s + WINDOW], digest_size=16).digest(), d, r, p - hi + s) for s in range(len(t) - WINDOW + 1)]
+        if got:
+            w = np.frombuffer(b"".join(g[0] for g in got), "<u8").reshape(-1, 2)
+            cols = {"w1": w[:, 0], "w2": w[:, 1], "doc": np.array([g[1] for g in got], np.int64), "row": np.array([g[2] for g in got], np.int64), "start": np.array([g[3] for g in got], np.int64)}
+            rows += [(b, HASHES, blob, b"") for b, blob in buckets_of(WINDOWS, cols, cols["w1"], buckets)]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "blob", "bytes"])
 
     return docs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, schema)
 
 
-def refined(cls: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """One round: blocks split by one more byte."""
-    return np.unique(cls.astype(np.int64) * 257 + byte, return_inverse=True)[1]
-
-
-def interleave(x: dict[str, np.ndarray], body: bytes) -> dict[str, np.ndarray]:
-    """Step 4 for contexts: ranges of windows that an earlier context of the same anchor holds too."""
-    lo, hi = x["lo"].astype(np.int64), x["hi"].astype(np.int64)
-    sizes = WINDOW + hi - lo
-    begin = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(body, np.uint8)
-    order = np.lexsort((x["pos"], x["row"], x["doc"], x["h"]))
-    h = x["h"][order]
-    cuts = np.append(np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0), len(h))
-    out: list[dict[str, np.ndarray]] = []
-    at = 0
-    while at < len(cuts) - 1:  # whole groups, about 20,000 contexts together
-        to = at + 1
-        while to < len(cuts) - 1 and cuts[to + 1] - cuts[at] <= 20_000:
-            to += 1
-        own = order[cuts[at] : cuts[to]]
-        out.append(_interleaved({k: v[own] for k, v in x.items()}, raw, begin[own], sizes[own]))
-        at = to
-    return {k: np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in RANGES}
-
-
-def _interleaved(x: dict[str, np.ndarray], raw: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-    m, left = len(begin), SPAN - 1
-    lo, hi, own, pos = x["lo"].astype(np.int64), x["hi"].astype(np.int64), x["row"], x["pos"].astype(np.int64)
-    grid = np.full((left + WINDOW, m), 256, np.int16)  # row: offset from the anchor plus left; 256: outside
-    col = np.repeat(np.arange(m), sizes)
-    inner = np.arange(len(col)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    grid[inner + np.repeat(left - hi, sizes), col] = raw[np.repeat(begin, sizes) + inner]
-    cls = np.cumsum(np.diff(x["h"], prepend=x["h"][:1]) != 0)
-    right = {}
-    for r in range(WINDOW):
-        cls = refined(cls, grid[left + r])
-        if r + 1 >= GRAM:
-            right[r + 1] = cls
-    cls = np.zeros(m, np.int64)
-    dup = np.zeros((m, SPAN + 2), bool)
-    for a in range(SPAN):  # windows that start a bytes before the anchor
-        if a:
-            cls = refined(cls, grid[left - a])
-        rows = np.flatnonzero((lo <= a) & (a <= hi))
-        if len(rows) > 1:
-            key = cls[rows] * (m + 1) + right[WINDOW - a][rows]
-            _, first, inv = np.unique(key, return_index=True, return_inverse=True)
-            head = rows[first[inv]]  # rows lie in order of document and place
-            dup[rows, a + 1] = (own[rows] != own[head]) | (pos[rows] != pos[head])
-    edge = np.diff(dup.astype(np.int8), axis=1)
-    row, a1 = np.nonzero(edge == 1)
-    _, a2 = np.nonzero(edge == -1)
-    return {"row": own[row], "start": pos[row] - (a2 - 1), "end": pos[row] - a1 + WINDOW}
-
-
-def settle(cuts: DataFrame, shards: int) -> DataFrame:
+class Merge:
+    """Transforms of several shards, end to end: entry -> string and offset, and the merge."""
+
+    def __init__(self, x: dict[str, np.ndarray], counts: list[int], bwt: np.ndarray):
+        """x: contexts in order of shard and string; counts: strings of each shard."""
+        self.x, self.bwt = x, bwt
+        self.size = WINDOW + x["hi"].astype(np.int64) - x["lo"]
+        shard = np.repeat(np.arange(len(counts)), counts)
+        entries = np.bincount(shard, self.size + 1, len(counts)).astype(np.int64)
+        ends = np.cumsum(entries)
+        piece = np.repeat(np.arange(len(counts)).astype(np.uint16 if len(counts) < 1 << 16 else np.int64), entries)
+        self.lf = np.empty(len(bwt), np.int64)  # the entry one byte longer
+        self.lf[np.lexsort((bwt, piece))] = np.arange(len(bwt))
+        # a shard's last entries are its strings' ends, in order; walk every string backwards
+        number = np.arange(len(shard)) - (np.cumsum(counts) - counts)[shard]
+        at = ends[shard] - np.asarray(counts, np.int64)[shard] + number
+        self.string, self.offset = np.zeros(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
+        self.grid = np.zeros((len(shard), int(self.size.max(initial=0))), np.uint8)
+        live, o = np.arange(len(shard)), self.size.copy()
+        while len(live):
+            self.string[at], self.offset[at] = live, o[live]
+            more = o[live] > 0
+            live, at = live[more], at[more]
+            o[live] -= 1
+            self.grid[live, o[live]] = bwt[at]
+            at = self.lf[at]
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.grid[i, : self.size[i]].tobytes()
+
+    def repeated(self) -> dict[str, np.ndarray]:
+        """Ranges of windows that an earlier place holds too."""
+        entry, block = np.arange(len(self.bwt)), np.zeros(len(self.bwt), np.int64)
+        for _ in range(WINDOW):
+            byte = self.bwt[entry]
+            inside = np.flatnonzero(byte != END)
+            order = inside[np.argsort(byte[inside], kind="stable")]
+            entry, byte, block = entry[order], byte[order], block[order]
+            new = changes(byte, block)
+            keep = np.flatnonzero(~(new & np.append(new[1:], True)))
+            entry, block = self.lf[entry[keep]], np.cumsum(new)[keep]
+        own, off = self.string[entry], self.offset[entry]
+        x = self.x
+        start = x["pos"][own].astype(np.int64) - x["hi"][own] + off
+        return later({"row": x["row"][own], "start": start}, x["doc"][own], block)
+
+
+def later(w: dict[str, np.ndarray], doc: np.ndarray, *same: np.ndarray) -> dict[str, np.ndarray]:
+    """Ranges of the windows that are not the first of those with equal ``same``."""
+    order = np.lexsort((w["start"], w["row"], doc, *same))
+    w = {k: v[order] for k, v in w.items()}
+    head = np.flatnonzero(changes(*(s[order] for s in same)))
+    own = head[np.searchsorted(head, np.arange(len(order)), "right") - 1] if len(head) else head
+    gone = (w["row"] != w["row"][own]) | (w["start"] != w["start"][own])
+    return union_of({"row": w["row"][gone], "start": w["start"][gone].astype(np.int64), "end": w["start"][gone].astype(np.int64) + WINDOW})
+
+
+def cut_up(x: dict[str, np.ndarray], data: bytes) -> list[bytes]:
+    ends = np.cumsum(WINDOW + x["hi"].astype(np.int64) - x["lo"]).tolist()
+    return [data[s:e] for s, e in zip([0, *ends], ends)]
+
+
+def resolved(kinds: list[int], blobs: list[bytes], data: list[bytes]) -> dict[str, np.ndarray]:
+    """Step 4 for the rows of a bucket: the byte ranges to remove."""
+    at = {k: [i for i, own in enumerate(kinds) if own == k] for k in range(5)}
+    parts = [joined(RANGES, [blobs[i] for i in at[KNOWN]])]
+    pieces = [unpacked(ANCHOR, blobs[i]) for i in at[MEMBERS]]
+    x = {k: np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, t) for k, t in ANCHOR}
+    counts = [len(p["h"]) for p in pieces]
+    bwt = np.frombuffer(b"".join(data[i] for i in at[MEMBERS]), np.uint8)
+    merge = Merge(x, counts, bwt)
+    copies, copied = joined(ANCHOR, [blobs[i] for i in at[COPIES]]), b"".join(data[i] for i in at[COPIES])
+    if len(copies["h"]):
+        models = joined(ANCHOR, [blobs[i] for i in at[MODELS]])
+        model = dict(zip(zip(models["h"].tolist(), models["c"].tolist()), zip(cut_up(models, b"".join(data[i] for i in at[MODELS])), range(len(models["h"])))))
+        wanted = np.flatnonzero(np.isin(x["c"], copies["c"]))
+        member = {(h, c): merge.bytes_of(i) for h, c, i in zip(x["h"][wanted].tolist(), x["c"][wanted].tolist(), wanted.tolist())}
+        keys, bodies = list(zip(copies["h"].tolist(), copies["c"].tolist())), cut_up(copies, copied)
+        same = np.array([(member[k] if k in member else model[k][0]) == b for k, b in zip(keys, bodies)], bool)
+        parts.append(covered({k: v[same] for k, v in copies.items()}))
+        if not same.all():  # equal hashes of different bytes: these contexts, and what they were taken for, are members too
+            odd = np.flatnonzero(~same)
+            also = sorted({model[keys[i]][1] for i in odd.tolist() if keys[i] not in member})
+            more = {k: np.concatenate([copies[k][odd], models[k][also]]) for k, _ in ANCHOR}
+            extra, _ = transforms([*(bodies[i] for i in odd.tolist()), *(model[models["h"][i], models["c"][i]][0] for i in also)], np.zeros(len(odd) + len(also), np.int64))
+            merge = Merge({k: np.concatenate([x[k], more[k]]) for k, _ in ANCHOR}, [*counts, len(more["h"])], np.concatenate([bwt, extra]))
+    parts.append(merge.repeated())
+    w = joined(WINDOWS, [blobs[i] for i in at[HASHES]])
+    parts.append(later({"row": w["row"], "start": w["start"]}, w["doc"], w["w2"], w["w1"]))
+    return union_of({k: np.concatenate([p[k] for p in parts]) for k, _ in RANGES})
+
+
+def settle(cuts: DataFrame, shards: int, parts: int) -> DataFrame:
     """Step 4: ``shard, blob``: byte ranges to remove."""
 
     def run(group: pa.Table) -> pa.Table:
-        kind = np.array(group.column("kind").to_pylist())
-        blobs, bodies = group.column("blob").to_pylist(), group.column("bytes").to_pylist()
-        pick = lambda k: [blobs[i] for i in np.flatnonzero(kind == k)]
-        parts = [joined(RANGES, pick(0))]
-        parts.append(interleave(joined(CONTEXT, pick(1)), b"".join(bodies[i] for i in np.flatnonzero(kind == 1))))
-        w = joined(WINDOWS, pick(2))
-        if len(w["w1"]):
-            order = np.lexsort((w["start"], w["row"], w["doc"], w["w2"], w["w1"]))
-            w = {k: v[order] for k, v in w.items()}
-            head = np.flatnonzero((np.diff(w["w1"], prepend=~w["w1"][:1]) != 0) | (np.diff(w["w2"], prepend=~w["w2"][:1]) != 0))
-            own = head[np.searchsorted(head, np.arange(len(order)), "right") - 1]
-            later = (w["row"] != w["row"][own]) | (w["start"] != w["start"][own])
-            parts.append({"row": w["row"][later], "start": w["start"][later], "end": w["start"][later] + WINDOW})
-        x = {k: np.concatenate([p[k] for p in parts]) for k, _ in RANGES}
-        x = union_of(x)
+        x = resolved(*(group.column(c).to_pylist() for c in ("kind", "blob", "bytes")))
         rows = list(buckets_of(RANGES, x, shard_of(x["row"], shards).astype(np.uint64), shards))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-    return cuts.groupBy("bucket").applyInArrow(run, "shard long, blob binary")
+    return cuts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, "shard long, blob binary")
 
 
 def union_of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -354,12 +498,14 @@ def union_of(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte ranges, and the bytes that stay."""
-    n = partitions(docs.sparkSession)
-    shards = buckets = 2 * n
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NOBODY)).alias("doc"), F.col("text").cast("string").alias("text"))
     keyed = keyed.withColumn("row", F.xxhash64("doc", "text"))
-    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    ranges = settle(cut(dealt, ask(post(keyed, buckets), shards), buckets), shards)
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-size // (4 * SHARE)))
+    shards = buckets = max(parts, -(-size // SHARE))
+    dealt = keyed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).repartition(parts, "shard")
+    asked = ask(post(keyed, buckets), shards, parts).repartition(parts, "shard")
+    ranges = settle(cut(dealt, asked, buckets), shards, parts).repartition(parts, "shard")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def drop(left: pa.Table, right: pa.Table) -> pa.Table:
