@@ -9,14 +9,19 @@ bound of every row's score. Going from the most significant slice downward
 finds the k-th bound; rows that the dropped low bits could still lift over it
 are the boundary rows, and their scores are computed exactly.
 
-Every (query block, index block) cell is one join row, so nothing is broadcast
-and no task holds more than its cells' blocks and a running top k.
+Queries are broadcast in batches of ``BATCH`` bytes at most, one alive at a time:
+each batch scans the stored index once, and a task keeps a running top k of its
+index blocks, so neither the broadcast nor what is shuffled (k rows a query and
+task) grows with the table. Rows are dealt to blocks by their place, so rows that
+share an id or a value never pile up in one block.
 
 Defined cases: vectors that are null or hold a null, NaN or infinite component
 take no part, neither as query nor as candidate; shorter vectors count as
 padded with zeros; equal scores go to the smaller id; fewer candidates than k
 give fewer rows; of rows that share an id all are candidates for other ids, and
-the first by value is the query. Scores must fit a long.
+the first by value is the query; an empty table gives no row. Scores are longs:
+sums that a long cannot hold wrap around, and where they may, all rows of a block
+are compared exactly.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import partitions, table, written
 
-#: Rows of an index block and of a query block; bits of a component that are sliced.
-ROWS, QUERIES_IN_BLOCK, SLICES = 8192, 256, 8
+#: Rows of an index block and of a query block; bits of a component that are sliced; bytes of a batch of queries.
+ROWS, QUERIES_IN_BLOCK, SLICES, BATCH = 8192, 256, 8, 32 << 20
 WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,16 +82,9 @@ def index_blocks(rows: DataFrame, width: int, blocks: int) -> DataFrame:
         return pa.table({"block": group.column("block")[:1], "n": pa.array([len(ids)], pa.int64()), **{k: pa.array([b], pa.binary()) for k, b in zip(("ids", "m", "bits", "shift", "slices"), blob)}})
 
     schema = "block long, n long, ids binary, m binary, bits binary, shift binary, slices binary"
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block").applyInArrow(build, schema)
-
-
-def query_blocks(rows: DataFrame, width: int, blocks: int) -> DataFrame:
-    def build(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        m = _matrix(group.column("v"), width)
-        return pa.table({"qb": group.column("qb")[:1], "qids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([m.tobytes()], pa.binary())})
-
-    return rows.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("qb").applyInArrow(build, "qb long, qids binary, q binary")
+    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))  # rows are a written table: places do not change
+    n = max(partitions(rows.sparkSession), -(-blocks // 8))
+    return rows.withColumn("block", spread).repartition(n, "block").groupBy("block").applyInArrow(build, schema)
 
 
 def _add(acc: list[np.ndarray], part: np.ndarray, at: int) -> None:
@@ -125,7 +123,7 @@ def bounds(slices: np.ndarray, bits: np.ndarray, shift: np.ndarray, weights: np.
             on = np.where((size[:, d] >> j) & 1 == 1, WORD, np.uint64(0))[:, None]
             if on.any():
                 _add(acc, part & on[None], j + int(shift[d]))
-    return acc, (size * ((np.int64(1) << shift) - 1)).sum(axis=1)
+    return acc, size.astype(object) @ np.array([(1 << s) - 1 for s in shift.tolist()], object)
 
 
 def at_least(acc: list[np.ndarray], k: np.ndarray, slack: np.ndarray, valid: np.ndarray, n: int) -> np.ndarray:
@@ -152,21 +150,21 @@ def at_least(acc: list[np.ndarray], k: np.ndarray, slack: np.ndarray, valid: np.
     return above | same
 
 
-def cell(row: dict, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, row ids and scores of one cell, at most k for each query."""
+def cell(row: dict, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, row ids and scores of some queries in an index block, at most k for each query."""
+    width = q.shape[1]
     n = row["n"]
     ids = np.frombuffer(row["ids"], np.int64)
     m = np.frombuffer(row["m"], np.int64).reshape(n, width)
     bits, shift = (np.frombuffer(row[c], np.int64) for c in ("bits", "shift"))
-    qids = np.frombuffer(row["qids"], np.int64)
-    q = np.frombuffer(row["q"], np.int64).reshape(len(qids), width)
     words = -(-n // 64)
     valid = _pack(np.ones(n, bool))
     slices = np.frombuffer(row["slices"], np.uint64).reshape(SLICES, width, words) if width else np.zeros((SLICES, 0, words), np.uint64)
     repeats = int(np.unique(ids, return_counts=True)[1].max())  # a query's own rows may stand before the k-th
     # the complement of an offset x is 2^bits - 1 - x: every row moves by one constant, so the order holds
-    if width and int(bits.max()) + int(np.abs(q).max(initial=0)).bit_length() + width.bit_length() > 60:
-        near = np.broadcast_to(valid, (len(qids), words))  # sums would pass 64 bits: every row is a boundary row
+    most = np.abs(q).astype(object) @ np.abs(m).max(axis=0, initial=0).astype(object)
+    if most.size and max(most) >= 1 << 63:
+        near = np.broadcast_to(valid, (len(qids), words))  # products may wrap around: only they tell
     else:
         acc, slack = bounds(slices, bits, shift, q, words, valid)
         near = at_least(acc, np.full(len(qids), k + repeats), slack, valid, n)
@@ -182,7 +180,7 @@ def cell(row: dict, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in out)  # type: ignore[return-value]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, rows_in_block: int = ROWS) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, rows_in_block: int = ROWS, batch_bytes: int = BATCH) -> DataFrame:
     """``query_id, rank, vec_id, score`` of quantised ``id, v`` frames."""
     spark = rows.sparkSession
     rows = written(rows, "vectors")
@@ -190,28 +188,41 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, rows_in_block: int =
     facts = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(facts[1] or 0, (queries.agg(F.max(F.size("v"))).first()[0]) or 0)
     nb = max(1, -(-facts[0] // rows_in_block))
-    nq = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
-    index = written(index_blocks(rows, width, nb), "index")
-    asked = written(query_blocks(queries, width, nq), "asked")
-    cells = index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))).join(
-        asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long")))), ["qb", "block"]
-    )
+    index = written(index_blocks(rows, width, nb), "index").select("n", "ids", "m", "bits", "shift", "slices")
+    n = max(1, -(-queries.count() * (8 * width + 16) // batch_bytes))
+    asked = written(queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(n))).repartition(n, "batch"), "asked")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = None
+    for i in range(n):
+        own = asked.where(F.col("batch") == i).select("id", "v").toArrow().sort_by("id")
+        shared = spark.sparkContext.broadcast((own.column("id").to_numpy(), _matrix(own.column("v"), width)))
+        scored = index.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long")
+        one = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if n > 1:  # the batch's results are kept, its queries are not
+            one = written(one, "batch")
+            shared.unpersist()
+        found = one if found is None else found.unionByName(one)
+    return found  # type: ignore[return-value]
+
+
+def _searcher(shared, k: int):
+    """Running top k of a task's index blocks."""
 
     def run(batches):
+        qids, q = shared.value
         best: pd.DataFrame | None = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                new = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cell(row, width, k))))
-                best = new if best is None else pd.concat([best, new])
-                if len(best) > 200_000:
-                    best = _kept(best, k)
+                for at in range(0, len(qids), QUERIES_IN_BLOCK):
+                    new = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cell(row, qids[at : at + QUERIES_IN_BLOCK], q[at : at + QUERIES_IN_BLOCK], k))))
+                    best = new if best is None else pd.concat([best, new])
+                    if len(best) > max(200_000, 4 * k * len(qids)):
+                        best = _kept(best, k)
         if best is not None and len(best):
             yield pa.RecordBatch.from_pandas(_kept(best, k), preserve_index=False)
 
-    scored = cells.select("qids", "q", "n", "ids", "m", "bits", "shift", "slices").mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return run
 
 
 def _kept(best: pd.DataFrame, k: int) -> pd.DataFrame:
