@@ -1,7 +1,12 @@
 """Personal data: fixed patterns plus bootstrapped contextual extraction.
 
 One pass over the texts finds the base entities (email, ip, card, phone) and
-every other identifier-shaped token or row of digit groups, each with the one and two words before it.
+every other identifier-shaped token or row of digit groups, each with the one and
+two words before it on its line (a word: a run of letters, digits and
+underscores, or any other character). A token is an identifier if it holds an @
+or from 5 to ``DIGITS_IN_TOKEN`` digits, groups of digits if they have 5 to
+``DIGITS_IN_GROUPS`` together: more are tables or numbers, as a card is no card
+beyond 19 digits. Neither has a limit on characters.
 Base entities are seeds: the contexts they stand in are lexical patterns. Spark
 then scores the bipartite graph of patterns and instances, in turn, ``ROUNDS``
 times: a pattern is worth the share of its distinct instances that are known
@@ -9,12 +14,15 @@ times: a pattern is worth the share of its distinct instances that are known
 patterns. Identifiers that reach ``SURE`` through a pattern of at least
 ``TRUST`` they stand in become spans of that pattern's kind; base spans stay.
 
-The scanners read each text once, however long its runs of digits or letters
-are; where a match fails its test it is dropped and scanning goes on after it.
+The scanners take time in proportion to a text, however long its runs of digits
+or letters are; where a match fails its test it is dropped and scanning goes on
+after it.
 
 Defined cases: null and empty texts have no span; spans of different kinds may
 overlap, an added span overlaps no base span; offsets are code points, ends
-exclusive; equal documents give equal rows. Pairs of pattern and instance are
+exclusive; every row has a result of its own, whatever its id (null and repeated
+ids too), and equal documents give equal rows; of kinds that reach a value
+equally the last by name is taken; an empty table gives an empty result. Pairs of pattern and instance are
 distinct before anything is joined, so a context in a third of all documents
 costs a partial aggregate and a join that adaptive execution can split.
 """
@@ -32,6 +40,7 @@ from .common import sliced, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, SUPPORT, TRUST, SURE = 3, 4, 0.6, 0.7
+DIGITS_IN_TOKEN, DIGITS_IN_GROUPS = 64, 19
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
@@ -39,7 +48,10 @@ PHONE_RUN = re.compile(r"[ ().0-9-]*")
 MARK = re.compile(r"[0-9@]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 TOKEN = re.compile(r"\S+")
-HIDDEN_EMAIL = re.compile(r"\b[\w.+-]+ ?(?:\(at\)|\[at\]| at ) ?[\w-]+ ?(?:\(dot\)|\[dot\]| dot ) ?\w+", re.I)
+#: The middle and the end of an address that is spelled out; its beginning is read backwards.
+AT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?", re.I)
+DOT = re.compile(r"[\w-]++ ?(?:\(dot\)|\[dot\]| dot ) ?\w++", re.I)
+SPELLED = re.compile(r"[\w.+-]")
 #: Groups of digits joined by blanks, brackets or hyphens.
 SPACED = re.compile(r"(?<!\w)[(\[]?[0-9]++(?:[ ()\[\]-]{1,3}[0-9]++)+(?!\w)")
 TRIM = "\"'()[]{}<>,;:!?.|*#$%&="
@@ -127,16 +139,43 @@ def base(text: str | None) -> list[tuple[str, int, int]]:
 
 def contexts(text: str, start: int) -> list[str]:
     """Lexical patterns before a position: the last word, the last two words (of its line)."""
-    line = text[max(text.rfind("\n", 0, start) + 1, start - 200) : start]
-    w = [DIGITS.sub("0", x) for x in line.lower().split()[-2:]]
-    out = [f"1|{w[-1]}"] if w else []
-    if len(w) == 2:
-        out.append(f"2|{w[0]} {w[1]}")
+    w: list[str] = []
+    at = start
+    while at > 0 and len(w) < 2 and text[at - 1] != "\n":
+        end = at
+        if text[at - 1].isspace():
+            at -= 1
+            continue
+        at -= 1
+        while at > 0 and inside(text[end - 1]) and inside(text[at - 1]):
+            at -= 1
+        w.insert(0, DIGITS.sub("0", text[at:end].lower()))
+    return [f"{n}|{' '.join(w[-n:])}" for n in (1, 2) if len(w) >= n]
+
+
+def inside(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def hidden_emails(text: str) -> list[tuple[int, int]]:
+    """Addresses with at and dot spelled out, leftmost first."""
+    out, done, m = [], 0, AT.search(text)
+    while m:
+        lo = m.start()
+        while lo > done and SPELLED.match(text[lo - 1]):
+            lo -= 1
+        while lo < m.start() and not inside(text[lo]):
+            lo += 1
+        hit = DOT.match(text, m.end()) if lo < m.start() else None
+        if hit:
+            out.append((lo, hit.end()))
+            done = hit.end()
+        m = AT.search(text, done if hit else m.start() + 1)
     return out
 
 
 def may_hide(text: str) -> bool:
-    """Whether HIDDEN_EMAIL can match: it needs an 'at' and a 'dot', in any case."""
+    """Whether an address can be spelled out: it needs an 'at' and a 'dot', in any case."""
     low = text.lower()
     return any(x in low for x in ("(dot)", "[dot]", " dot ")) and any(x in low for x in ("(at)", "[at]", " at "))
 
@@ -160,13 +199,14 @@ def others(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]
             s += 1
         while e > s and text[e - 1] in TRIM:
             e -= 1
-        if 6 <= e - s <= 100 and ("@" in text[s:e] or sum(c.isdigit() for c in text[s:e]) >= 5):
+        digits = sum(c.isdigit() for c in text[s:e])
+        if e > s and digits <= DIGITS_IN_TOKEN and ("@" in text[s:e] or digits >= 5):
             shaped.append((s, e))
     for m in SPACED.finditer(text):
-        if m.end() - m.start() <= 100 and sum(c.isdigit() for c in m.group()) >= 5:
+        if 5 <= sum(c.isdigit() for c in m.group()) <= DIGITS_IN_GROUPS:
             shaped.append(m.span())
     if may_hide(text):
-        shaped += [m.span() for m in HIDDEN_EMAIL.finditer(text)]
+        shaped += hidden_emails(text)
     for s, e in sorted(shaped, key=lambda x: (x[0], -x[1])):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
