@@ -11,11 +11,17 @@ letters than to that of the worst training text.
 
 The counts come from a bounded sample of labelled texts (``SAMPLE`` a language,
 by hash of the id), whole texts. The model is then at most ``MAX_GRAMS`` n-grams
-an order: rare ones are pruned first, so a broadcast model has a fixed bound.
+of the longest order: rare ones are pruned first, so a broadcast model has a
+fixed bound. The alphabet is every letter of the sample, up to the ``LETTERS``
+most frequent, which keeps n-grams of four exact in 64 bits. Temperature and
+limits come from every ``HELD``-th text of a language, which the model they are
+fitted with has not counted (a language with fewer texts is fitted on its own).
 
 Defined cases: null texts and texts without a letter are ``und``, score 0, rejected;
 letters never seen in training share one unknown symbol; equal entropies go to
-the language that sorts first; without a training text every text is ``und``.
+the language that sorts first; without a training text every text is ``und``;
+rows with a null or repeated doc_id are scored like any others and may train, a
+null id is never held out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc, sliced, table
+from .common import held_out, id_crc, sliced, table
 
-ORDER, SAMPLE, MAX_GRAMS, SHORT = 4, 400, 400_000, 60
+ORDER, SAMPLE, MAX_GRAMS, SHORT, LETTERS, HELD = 4, 400, 400_000, 60, 65_000, 5
 UNKNOWN, BLANK = 1, 0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,7 +180,10 @@ class Model:
         return -total / (len(symbols) - 1)
 
     def calibrate(self, texts: list[tuple[str, str]]) -> None:
-        """Temperature of the score and entropy limits of rejection, from training texts."""
+        """Temperature of the score and entropy limits of rejection, from labelled texts."""
+        self.temperature, self.limit = 10.0, {}
+        if not self.langs:
+            return
         margins, own = [], {k: [] for k in self.langs}
         for text, lang in texts:
             s = self.alphabet.symbols(text)
@@ -208,26 +217,42 @@ class Model:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """labelled: doc_id, text, lang. At most ``sample`` texts a language are taken."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = labelled.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id"))
+    ranked = labelled.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
     # salted first pass: a hot language is cut down before its rows meet
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    ids = ranked.select("doc_id", "lang", "h").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= sample)
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "h")
-    picked = {(r.doc_id, r.h) for r in ids.collect()}
-    wanted = [d for d, _ in picked]
-    rows = ranked.where(F.col("doc_id").isin(wanted)).select("text", "lang", "doc_id").collect() if wanted else []
-    rows = sorted(((r.text, r.lang, r.doc_id) for r in rows), key=lambda r: (r[1], r[2], r[0]))
-    langs = sorted({lang for _, lang, _ in rows})
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
+    few = ranked.select("lang", "h").withColumn("r", F.row_number().over(salted)).where(F.col("r") <= sample)
+    # at most 64 x sample hashes a language are left, and tasks send arrays of them
+    least = F.slice(F.sort_array(F.collect_list("h")), 1, sample)
+    picked = {(r.lang, h) for r in few.groupBy("lang").agg(least.alias("hs")).collect() for h in r.hs}
+    wanted = sorted({h for _, h in picked})
+    rows = ranked.where(F.col("h").isin(wanted)).select("text", "lang", "h").collect() if wanted else []
+    rows = sorted((r.lang, r.h, r.text) for r in rows if (r.lang, r.h) in picked)
+    rows = [(text, lang) for at, (lang, _, text) in enumerate(rows) if at < sample or rows[at - sample][0] != lang]
+    langs = sorted({lang for _, lang in rows})
     letters: dict[str, int] = {}
-    for text, _, _ in rows:
+    for text, _ in rows:
         for c in set(text.lower()):
             if c.isalpha():
                 letters[c] = letters.get(c, 0) + 1
-    alphabet = Alphabet("".join(sorted(letters, key=lambda c: (-letters[c], c))[:4000]))
+    alphabet = Alphabet("".join(sorted(letters, key=lambda c: (-letters[c], c))[:LETTERS]))
+    number = {lang: 0 for lang in langs}
+    held = []
+    for _, lang in rows:
+        number[lang] += 1
+        held.append(number[lang] % HELD == 0)
+    few = {lang for lang in langs if number[lang] < HELD}
+    part = counted(langs, alphabet, [r for r, h in zip(rows, held) if not h])
+    part.calibrate([r for r, h in zip(rows, held) if h or r[1] in few])
+    model = counted(langs, alphabet, rows)
+    model.temperature, model.limit = part.temperature, part.limit
+    return model
+
+
+def counted(langs: list[str], alphabet: Alphabet, rows: list[tuple[str, str]]) -> Model:
+    """The models of (text, lang) rows."""
     counts = []
     for lang in langs:
-        symbols = [alphabet.symbols(t) for t, own, _ in rows if own == lang]
+        symbols = [alphabet.symbols(t) for t, own in rows if own == lang]
         by_order = []
         for n in range(1, ORDER + 1):
             keys, c = np.unique(np.concatenate([grams(s, n, alphabet.size) for s in symbols]), return_counts=True)
@@ -238,9 +263,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 top = np.sort(np.argsort(-c, kind="stable")[: MAX_GRAMS // len(langs)])
                 by_order[n - 1] = (keys[top], c[top])
         counts.append(by_order)
-    model = Model(langs, alphabet, counts)
-    model.calibrate([(t, lang) for t, lang, _ in rows])
-    return model
+    return Model(langs, alphabet, counts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -272,7 +295,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(id_crc() % 5 != 0).select("doc_id", "text", "lang"))
-    return identify(docs, model).select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+    return identify(docs, model).select("doc_id", held_out(5, 0), "lang_pred", "score", "entropy", "rejected")
 
 
 QUERIES = {"op4_langid": op4_langid}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, id_crc, sliced, table
+from .common import crc_of, held_out, id_crc, sliced, table
 from .sampling import labelled_texts
 
 SAMPLE, BITS, DIM, EPOCHS, RATE, GRAMS = 3000, 18, 8, 6, 0.5, (3, 4, 5)
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = Model(labelled_texts(docs, labels, "quality", id_crc() % 5 != 0, SAMPLE))
-    return score(docs, model).select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 QUERIES = {"op6_quality": op6_quality}

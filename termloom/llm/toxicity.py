@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of, id_crc, sliced, table
+from .common import crc_of, held_out, id_crc, sliced, table
 from .sampling import labelled_texts
 
 SAMPLE, STEMS, TREES, DEPTH, RATE, BINS = 6000, 4000, 80, 3, 0.15, 96
@@ -37,8 +37,9 @@ INSULTS = frozenset(
 SECOND = frozenset("you your yours yourself u ur tu toi te vous votre vos ton ta tes du dich dir dein deine ihr euch tú ti usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 WORD = re.compile(r"[^\W_]+")
-#: A token that hides letters: a letter, then digits or symbols, then a letter.
-HIDDEN = re.compile(r"(?=\S*[0-9@$!|*.])[^\W\d_][0-9@$!|*.\-]+[^\W_][\w@$!|*.\-]*")
+#: A run that hides letters: a letter, then digits or symbols, then a letter; hyphens alone hide nothing.
+HIDDEN = re.compile(r"[^\W\d_][0-9@$!|*.\-]+[^\W_][\w@$!|*.\-]*+")
+HIDES = re.compile(r"[0-9@$!|*.]")
 SPACED = re.compile(r"\b(?:[^\W\d_][ .\-]){3,}[^\W\d_]\b")
 NONE, STEM, STRONG, PLAIN, SECONDP = range(5)
 FEATURES = 16
@@ -108,7 +109,7 @@ class Features:
             at = np.searchsorted(second, toxic)
             gap = np.minimum(np.abs(second[np.minimum(at, len(second) - 1)] - toxic), np.abs(second[np.maximum(at - 1, 0)] - toxic))
             near = int((gap <= 3).sum())
-        hidden = [m.group(0) for m in HIDDEN.finditer(text)] if any(c in text for c in "013457@$!|*") else []
+        hidden = [m.group(0) for m in HIDDEN.finditer(text) if HIDES.search(m.group(0))] if any(c in text for c in "013457@$!|*") else []
         undone = sum(t.lower().translate(LEET).replace("*", "").replace(".", "").replace("-", "") in INSULTS for t in hidden)
         spaced = [re.sub(r"[ .\-]", "", m.group(0)).lower() for m in SPACED.finditer(text)]
         chars = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -245,7 +246,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = Model(labelled_texts(docs, labels, "toxic", id_crc() % 3 != 1, SAMPLE))
-    return score(docs, model).select("doc_id", (id_crc() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}
