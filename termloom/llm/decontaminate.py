@@ -95,7 +95,7 @@ class Lengths:
         self.seen[(self.key >> np.uint64(44)).astype(np.int64)] = True
 
     def possible(self, x: np.ndarray, words: int) -> np.ndarray:
-        """Places that the bound leaves."""
+        """Places around those that the bound leaves."""
         n = len(x)
         ok = np.zeros(n, bool)
         known = np.zeros(n + max(span for _, span, _ in self.bounds) + 1, np.int32)
@@ -104,7 +104,13 @@ class Lengths:
             counts[vocabulary] = 1
             np.cumsum(counts.take(x), dtype=np.int32, out=known[1 : n + 1])
             known[n + 1 :] = known[n]
-            ok |= known[span : span + n] - known[:n] >= need
+            starts = np.flatnonzero(known[span : span + n] - known[:n] >= need)
+            # a match is found from places up to 2k before its start and k behind it
+            k = span - (need + span) // 2
+            change = np.zeros(n + 1, np.int32)
+            np.add.at(change, np.maximum(starts - 2 * k, 0), 1)
+            np.add.at(change, np.minimum(starts + k + 1, n), -1)
+            ok |= np.cumsum(change[:n]) > 0
         return ok
 
     def keys(self, walked: np.ndarray) -> np.ndarray:
