@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import OTHER, buckets, letter_bucket, normalize_text
+from ..functions.text import buckets, letter_bucket, normalize_text
 
+# Names of lists and fields that callers see.
 LISTS = ("blacklist", "whitelist", "combinations")
 SHAPE = ["term", "normalized_term", "category", "risk_level", "action", "notes"]
+# End of fixed values.
 
 
 def shaped(rows: DataFrame, kind: str) -> DataFrame:
@@ -24,7 +26,7 @@ def shaped(rows: DataFrame, kind: str) -> DataFrame:
 
 def filtered(rows: DataFrame, query: str = "", letter: str = "") -> DataFrame:
     if letter:
-        wanted = letter.upper() if letter != OTHER and letter.isascii() and letter.isalpha() else letter
+        wanted = next((b for b in (letter, letter.upper()) if b in buckets()), letter)
         rows = rows.where(letter_bucket(F.col("normalized_term")) == wanted)
     if query:
         # a token that starts with the query contains it, so one test does
@@ -48,7 +50,11 @@ def letters(rows: DataFrame) -> DataFrame:
 
 def browse(rows: DataFrame, kind: str, query: str = "", letter: str = "", page: int = 1, page_size: int = 100) -> dict:
     """A page with its total and letters."""
-    shape = shaped(rows, kind)
+    return answered(shaped(rows, kind), kind, query, letter, page, page_size)
+
+
+def answered(shape: DataFrame, kind: str, query: str = "", letter: str = "", page: int = 1, page_size: int = 100) -> dict:
+    """The answer of ``browse`` for a list already shaped."""
     items = page_of(shape, query, letter, page, page_size)
     return {
         "list": kind, "query": query, "letter": letter, "page": page, "page_size": page_size, "total": filtered(shape, query, letter).count(),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, tokens
-from ..sources.lexicon import TERM_FIELDS, in_order
+from ..sources.lexicon import TERM_FIELDS, in_order, levels
 
 
 @dataclass(frozen=True)
@@ -29,13 +29,13 @@ class Labels:
 
 
 def keep_first(df: DataFrame, keys: list[str]) -> DataFrame:
-    """First row by ord of every key."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).where("_n = 1").drop("_n")
+    """First row by ord of every key, as a partial aggregate: hot keys cost one row a task."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), "ord").alias("r")).select(*keys, "r.*").select(df.columns)
 
 
 def keep_last(df: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    # a partial aggregate, unlike a descending window: hot keys cost one row a task
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "ord").alias("r")).select(*keys, "r.*")
 
 
@@ -46,13 +46,12 @@ def deduplicate(rows: DataFrame) -> DataFrame:
 def approved_tokens(approved: DataFrame, labels: Labels = Labels()) -> DataFrame:
     """Tokens of ALLOW examples, first by (row, position), as white rows. approved: resource_name, action, ord."""
     words = tokens(normalize_text(F.col("resource_name")))
-    each = approved.where("action = 'ALLOW'").select("ord", F.posexplode(words).alias("pos", "term"))
+    each = approved.where("action = 'ALLOW'").select(levels(approved).alias("ord"), F.posexplode(words).alias("pos", "term"))
     each = each.withColumn("normalized_term", normalize_text(F.col("term"))).where("normalized_term <> ''")
     first = each.groupBy("normalized_term").agg(F.min(F.struct("ord", "pos", "term")).alias("f"))
-    # the window only numbers distinct tokens: positions within a row fit 24 bits
     return first.select(
         F.col("f.term").alias("term"), "normalized_term", F.lit("approved_token").alias("category"), F.lit(labels.approved_token).alias("source"), F.lit(0).alias("risk_level"),
-        F.lit("ALLOW").alias("action"), F.lit(0.9).alias("confidence"), F.lit("Single token of an approved name").alias("notes"), (F.col("f.ord") * (1 << 24) + F.col("f.pos")).alias("ord"),
+        F.lit("ALLOW").alias("action"), F.lit(0.9).alias("confidence"), F.lit("Single token of an approved name").alias("notes"), F.concat("f.ord", F.array(F.col("f.pos").cast("long"))).alias("ord"),
     )
 
 
@@ -63,9 +62,7 @@ def pattern_hits(words: DataFrame, patterns: DataFrame) -> DataFrame:
     any term it starts. Terms post their prefixes of the lengths patterns have,
     so this is an equi-join. patterns: rule_ord, category, pattern.
     """
-    lengths = F.lit(24)
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
-    del lengths
     t = F.col("normalized_term")
     prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length(t), F.lit(longest))), lambda i: F.substring(t, F.lit(1), i))
     posted = words.select("normalized_term").where("normalized_term <> ''").distinct().select("normalized_term", F.explode(prefixes).alias("pattern"))
@@ -119,10 +116,10 @@ def combinations(seeded: DataFrame, anchors: DataFrame, labels: Labels = Labels(
     seeded: phrase, risk, risk_level, notes, ord; anchors: anchor, targets
     (array), risk, risk_level, notes, ord.
     """
-    fixed = seeded.select(F.col("phrase").alias("combination"), F.lit("problematic_combination").alias("category"), F.lit(labels.seed_combination).alias("source"), "risk", "risk_level", F.lit(0.9).alias("confidence"), "notes", F.col("ord").cast("long").alias("ord"))
+    fixed = seeded.select(F.col("phrase").alias("combination"), F.lit("problematic_combination").alias("category"), F.lit(labels.seed_combination).alias("source"), "risk", "risk_level", F.lit(0.9).alias("confidence"), "notes", levels(seeded).alias("ord"))
     made = anchors.select("*", F.posexplode("targets").alias("pos", "target")).select(
         F.concat_ws(" ", "anchor", "target").alias("combination"), F.lit("generated_problematic_combination").alias("category"), F.lit(labels.generated_combination).alias("source"),
-        "risk", "risk_level", F.lit(0.78).alias("confidence"), "notes", (F.col("ord").cast("long") * (1 << 24) + F.col("pos")).alias("ord"),
+        "risk", "risk_level", F.lit(0.78).alias("confidence"), "notes", F.concat(levels(anchors), F.array(F.col("pos").cast("long"))).alias("ord"),
     )
     norm = normalize_text(F.col("combination"))
     fixed, made = fixed.withColumn("normalized_combination", norm), made.withColumn("normalized_combination", norm)

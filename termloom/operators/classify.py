@@ -13,9 +13,9 @@ REASON_COMBINATION = "Matched problematic term combination"
 REASON_NONE = "No sensitive terminology detected"
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """Term rows with a row id."""
-    return rows.withColumn("tid", F.monotonically_increasing_id())
+def row_key(docs: DataFrame):
+    """Id and a hash of the text: rows that share it have equal results, and a null id is a value like others."""
+    return F.struct(F.col("id").alias("id"), F.xxhash64("text").alias("text"))
 
 
 def classify(docs: DataFrame, terms: DataFrame, rules: DataFrame, safe: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
@@ -24,9 +24,10 @@ def classify(docs: DataFrame, terms: DataFrame, rules: DataFrame, safe: DataFram
     docs: id, text. terms: tid, term, normalized_term, risk_level, action.
     rules: tid, phrase, normalized_phrase, risk_score. Texts without any match
     score 0 and are ALLOW. ``fuzzy=False`` keeps to exact and substring matches
-    and equal-token windows; then no Python runs.
+    and equal-token windows; then no Python runs. Every row has its own result,
+    ids may be null or repeated; other columns of docs are left out.
     """
-    base = docs.select("id", normalize_text(F.coalesce(F.col("text"), F.lit(""))).alias("nx"))
+    base = docs.select(row_key(docs).alias("id"), normalize_text(F.coalesce(F.col("text"), F.lit(""))).alias("nx"))
     if fuzzy and safe is None:
         safe = docs.sparkSession.createDataFrame([], "normalized_term string")
     found = match.term_matches(base, terms, safe if fuzzy else None).join(terms.select("tid", "term", "risk_level", "action"), "tid")
@@ -40,7 +41,7 @@ def classify(docs: DataFrame, terms: DataFrame, rules: DataFrame, safe: DataFram
     hit = match.combination_matches(base, rules, match.TOKEN_RATIO if fuzzy else None).join(rules.select("tid", "phrase", "risk_score"), "tid")
     by_rule = hit.groupBy("id").agg(F.max("risk_score").alias("rule"), F.array_sort(F.collect_set("phrase")).alias("matched_combination"))
     none = F.array().cast("array<string>")
-    whole = base.join(by_term, "id", "left").join(by_rule, "id", "left")
+    whole = base.join(by_term, "id", "left").join(by_rule, "id", "left").withColumn("id", F.col("id.id"))
     score = F.coalesce(F.greatest("risk", "rule"), F.col("white"), F.lit(0)).cast("int")
     reason = F.concat_ws("; ", F.when(F.col("block"), REASON_TERM), F.when(F.col("rule").isNotNull(), REASON_COMBINATION))
     return whole.select(

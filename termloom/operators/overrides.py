@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text
-from ..sources.lexicon import TERM_FIELDS
+from ..sources.lexicon import TERM_FIELDS, in_order
 
 
 def override_rows(requests: DataFrame) -> DataFrame:
@@ -27,14 +27,20 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def apply_overrides(black: DataFrame, white: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists after the overrides: every variant of an overridden norm goes, its override row comes."""
+    """Lists after the overrides: every variant of an overridden norm goes, its override row comes.
+
+    Lists with ord keep their order, and override rows follow in order of time.
+    """
     new = latest(log)
     keys = new.select("normalized_term")
     fields = [c for c in TERM_FIELDS if c in black.columns]
     out = []
     for rows, action in ((black, "BLOCK"), (white, "ALLOW")):
-        kept = rows.join(keys, "normalized_term", "left_anti").select(*fields)
-        out.append(kept.unionByName(new.where(F.col("action") == action).select(*fields)))
+        kept, come = rows.join(keys, "normalized_term", "left_anti"), new.where(F.col("action") == action)
+        if "ord" in rows.columns:
+            out.append(in_order(kept.select(*fields, "ord"), come.select(*fields, F.unix_micros(F.col("created_at").cast("timestamp")).alias("ord"))))
+        else:
+            out.append(kept.select(*fields).unionByName(come.select(*fields)))
     return out[0], out[1]
 
 
@@ -45,7 +51,7 @@ def override(black: DataFrame, white: DataFrame, term: str, action: str) -> tupl
     log = override_rows(black.sparkSession.createDataFrame([(term, action)], "term string, action string").withColumn("created_at", F.current_timestamp()))
     row = log.first()
     if row is None:
-        raise ValueError("Term has no normalized content")
+        raise ValueError(f"nothing is left of {term!r} after normalization")
     black, white = apply_overrides(black, white, log)
     name = "whitelist" if action == "ALLOW" else "blacklist"
     return black, white, {"status": "ok", "message": f"Term added to {name} override list", "term": row.term, "normalized_term": row.normalized_term, "action": action}

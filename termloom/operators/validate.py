@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text, raw_tokens
 from . import match
 from .build import keep_last
+from .classify import row_key
 
 
 def lookup(rows: DataFrame) -> DataFrame:
@@ -27,8 +28,12 @@ def segments(docs: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
 
 
 def validate_detailed(docs: DataFrame, black: DataFrame, white: DataFrame, rules: DataFrame, threshold: float | None = match.TOKEN_RATIO) -> DataFrame:
-    """``id, text, normalized_text, overall_status, segments, matched_terms, matched_combinations``."""
-    each = segments(docs, black, white)
+    """``id, text, normalized_text, overall_status, segments, matched_terms, matched_combinations``.
+
+    Every row has its own result; ids may be null or repeated.
+    """
+    keyed = docs.select(row_key(docs).alias("id"), "text")
+    each = segments(keyed.distinct(), black, white)
     listed = F.sort_array(F.collect_list(F.struct("pos", "value", "status", "reason")))
     by_doc = each.groupBy("id").agg(
         F.transform(listed, lambda s: F.struct(s["value"].alias("value"), s["status"].alias("status"), s["reason"].alias("reason"))).alias("segments"),
@@ -36,10 +41,10 @@ def validate_detailed(docs: DataFrame, black: DataFrame, white: DataFrame, rules
         F.bool_or(F.col("status") == "UNKNOWN").alias("unknown"),
         F.array_sort(F.collect_set(F.when(F.col("status") != "UNKNOWN", F.col("value")))).alias("matched_terms"),
     )
-    base = docs.select("id", "text", normalize_text(F.coalesce("text", F.lit(""))).alias("nx"))
+    base = keyed.withColumn("nx", normalize_text(F.coalesce("text", F.lit(""))))
     hit = match.combination_matches(base.select("id", "nx"), rules, threshold).join(rules.select("tid", "phrase"), "tid")
     by_rule = hit.groupBy("id").agg(F.array_sort(F.collect_set("phrase")).alias("matched_combinations"))
-    whole = base.join(by_doc, "id", "left").join(by_rule, "id", "left")
+    whole = base.join(by_doc, "id", "left").join(by_rule, "id", "left").withColumn("id", F.col("id.id"))
     overall = F.when(F.col("block") | F.col("matched_combinations").isNotNull(), "BLOCK").when(F.col("unknown"), "UNKNOWN").otherwise("ALLOW")
     none = F.array().cast("array<string>")
     return whole.select(

@@ -5,17 +5,21 @@ Array results are given as delimited strings, so values compare alike in both.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.similarity import candidate_pairs
-from ..operators import browse, build, match, overrides, review, suggest, validate
+from ..operators import browse, build, match, overrides, review, store, suggest, validate
 from ..operators.classify import REASON_COMBINATION, REASON_NONE, REASON_TERM, classify
+from ..sources import lexicon as src
 from ..sources import sinks
 from ..sources.lexicon import in_order
 from . import lexica as lx
-from .lexica import SQL, quoted, sql_marks, sql_norm, sql_token, with_
+from .lexica import SQL, quoted, sql_marks, sql_near, sql_norm, sql_token, with_
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +97,7 @@ APPROVED_TOKENS = f"""approved_tokens as (
 
 @query(with_("approved", f", {APPROVED_TOKENS} select {TERM_COLS}, ord from approved_tokens"))
 def lexicon_approved_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return build.approved_tokens(lx.approved(spark, d)).select(*TERM_COLS.split(", "), "ord")
+    return build.approved_tokens(lx.approved(spark, d)).select(*TERM_COLS.split(", "), (F.col("ord")[0] * 16777216 + F.col("ord")[1]).alias("ord"))
 
 
 def sql_patterns(name: str, rows) -> str:
@@ -108,6 +112,26 @@ def sql_hits(name: str, source: str, patterns: str) -> str:
 BLACK_SQL, GREY_SQL = sql_patterns("bp", lx.BLACK_PATTERNS), sql_patterns("gp", lx.GREY_PATTERNS)
 
 
+@query(f"with {FIXTURE} select cast(id as bigint) as id, array_to_string([x for x in [{sql_token('w', False)} for w in regexp_split_to_array(text, '[ \\t\\n\\f\\r\\x0b]+')] if x <> ''], ' ') as pattern from fixture")
+def normalize_pattern_fixture(spark: SparkSession, d: str) -> DataFrame:
+    return hebrew(spark).select("id", tx.normalize_pattern(F.col("text")).alias("pattern"))
+
+
+RATIO_WORDS = "rw as (select distinct unnest(string_split(p_name, ' ')) as word from part), rt as (select distinct unnest(string_split(lower(p_type), ' ')) as word from part)"
+
+
+@query(f"with recursive {RATIO_WORDS}, {sql_near('near', 'select word as text from rw', 'select word as target from rt', 0.3)} select text, target, round(ratio, 9) as ratio, ratio >= 0.82::double as similar from near")
+def similarity_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The ratio and the token predicate over the words of two small vocabularies."""
+    from ..functions.similarity import ratio, similar_pairs
+
+    part = lx.read(spark, d, "part")
+    one = part.select(F.explode(F.split("p_name", " ")).alias("text")).distinct()
+    two = part.select(F.explode(F.split(F.lower("p_type"), " ")).alias("target")).distinct()
+    near = similar_pairs(one, two, 0.3).withColumn("r", ratio("text", "target"))
+    return near.select("text", "target", F.round("r", 9).alias("ratio"), (F.col("r") >= match.TOKEN_RATIO).alias("similar"))
+
+
 @query(with_("docs place", "").rstrip() + f", {BLACK_SQL}, t as (select distinct word as normalized_term from place), {sql_hits('h', 't', 'bp')} select normalized_term, hit as category from h")
 def pattern_category(spark: SparkSession, d: str) -> DataFrame:
     words = match.doc_words(lx.normalized(lx.documents(spark, d))).select(F.col("word").alias("normalized_term")).distinct()
@@ -175,6 +199,22 @@ def lexicon_build(spark: SparkSession, d: str) -> DataFrame:
     return black.select(F.lit("black").alias("list"), *cols).unionByName(white.select(F.lit("white").alias("list"), *cols))
 
 
+@query(f"{BUILD_SQL} select list, term, source, row_number() over (partition by list order by f, o) as place from (select *, ord // 72057594037927936 as f, ord % 72057594037927936 as o from built) where f < 2")
+def lexicon_order(spark: SparkSession, d: str) -> DataFrame:
+    """Curated rows of both lists in the order of their sources: seeds, then approved tokens."""
+    from pyspark.sql import Window
+
+    black, white = _lexicon(spark, d)
+    rows = black.withColumn("list", F.lit("black")).unionByName(white.withColumn("list", F.lit("white"))).where(F.col("ord")[0] == 0)
+    return rows.select("list", "term", "source", F.row_number().over(Window.partitionBy("list").orderBy("ord")).alias("place"))
+
+
+@query(f"{BUILD_SQL} select count(*) as shared from (select normalized_term from built where list = 'black' intersect select normalized_term from built where list = 'white')")
+def lists_disjoint(spark: SparkSession, d: str) -> DataFrame:
+    black, white = _lexicon(spark, d)
+    return black.select("normalized_term").intersect(white.select("normalized_term")).agg(F.count("*").alias("shared"))
+
+
 @query(
     f"""with seeded as (select distinct p_brand || ' ' || split_part(p_type, ' ', 1) as phrase, p_size as risk_level, min(p_partkey) as ord from part where p_size % 10 = 1 group by 1, 2),
 fixed as (select phrase as combination, {sql_norm('phrase')} as normalized_combination, 'seed_combinations' as source, risk_level, ord from seeded),
@@ -213,12 +253,43 @@ def term_match_substring(spark: SparkSession, d: str) -> DataFrame:
     return match.containing(lx.normalized(lx.documents(spark, d)), phrases).select(F.col("id").alias("doc_id"), "tid")
 
 
-@query()
+FUZZY_WORDS = f"""{SAFE_SQL}, {sql_near('fw', "select word as text from place where word not in (select normalized_term from safe)", "select normalized_term as target from words where action <> 'ALLOW'", match.TERM_RATIO)},
+fuzzy_words as (select distinct p.id, w.tid from place p join fw on p.word = fw.text join words w on w.normalized_term = fw.target where w.action <> 'ALLOW')"""
+
+
+def sql_fuzzy_grams(place: str, phrases: str = "phrases", n: int = 2) -> str:
+    """``fuzzy_grams``(id, tid): runs of n words that resemble a risk phrase."""
+    joins = " ".join(f"join {place} p{k} on p{k}.id = p0.id and p{k}.pos = p0.pos + {k}" for k in range(1, n))
+    text = " || ' ' || ".join(f"p{k}.word" for k in range(n))
+    near = sql_near("fg", "select text from gram", f"select normalized_term as target from {phrases} where action <> 'ALLOW'", match.TERM_RATIO)
+    return f"""gram as materialized (select distinct p0.id, {text} as text from {place} p0 {joins}), {near},
+fuzzy_grams as (select distinct g.id, p.tid from gram g join fg using (text) join {phrases} p on p.normalized_term = fg.target where p.action <> 'ALLOW')"""
+
+
+def sql_fuzzy_window(place: str) -> str:
+    """``fuzzy_window``(id, tid): two-word rules met by similar words up to four apart."""
+    near = sql_near("fr", f"select word as text from {place}", "select unnest(string_split(normalized_term, ' ')) as target from rules", match.TOKEN_RATIO)
+    return f"""{near}, like_ as materialized (select p.id, p.pos, fr.target from {place} p join fr on p.word = fr.text),
+fuzzy_window as (select distinct a.id, r.tid from rules r join like_ a on a.target = split_part(r.normalized_term, ' ', 1)
+  join like_ b on b.id = a.id and b.target = split_part(r.normalized_term, ' ', 2) and b.pos > a.pos and b.pos <= a.pos + 4)"""
+
+
+@query(with_("docs bw words place", f", {FUZZY_WORDS} select id as doc_id, tid from fuzzy_words"))
 def term_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return match.fuzzy_words(lx.normalized(lx.documents(spark, d)), lx.words(spark, d), lx.safe(spark)).select(F.col("id").alias("doc_id"), "tid")
 
 
-@query()
+@query(with_("docs bw phrases place", f", {sql_fuzzy_grams('place')} select id as doc_id, tid from fuzzy_grams"))
+def ngram_match_fuzzy_documents(spark: SparkSession, d: str) -> DataFrame:
+    return match.fuzzy_grams(lx.normalized(lx.documents(spark, d)), lx.phrases(spark, d)).select(F.col("id").alias("doc_id"), "tid")
+
+
+@query(with_("docs bw phrases3 place", f", {sql_fuzzy_grams('place', 'phrases3', 3)} select id as doc_id, tid from fuzzy_grams"))
+def ngram_match_fuzzy_three(spark: SparkSession, d: str) -> DataFrame:
+    return match.fuzzy_grams(lx.normalized(lx.documents(spark, d)), lx.phrases3(spark, d)).select(F.col("id").alias("doc_id"), "tid")
+
+
+@query(with_("msgs bw phrases mplace", f", {sql_fuzzy_grams('mplace')} select id, tid from fuzzy_grams"))
 def ngram_match_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return match.fuzzy_grams(lx.normalized(lx.messages(spark, d)), lx.phrases(spark, d)).select("id", "tid")
 
@@ -247,21 +318,65 @@ def combination_window_exact(spark: SparkSession, d: str) -> DataFrame:
     return match.ordered_windows(lx.normalized(lx.documents(spark, d)), lx.rules(spark, d), None).select(F.col("id").alias("doc_id"), "tid")
 
 
-@query()
+@query(with_("docs bw phrases3", ", s as (select d.id, p.tid from docs d join phrases3 p on contains(d.nx, p.normalized_term)) select id as doc_id, tid from s"))
+def term_match_substring_three(spark: SparkSession, d: str) -> DataFrame:
+    phrases = lx.phrases3(spark, d).select("tid", F.col("normalized_term").alias("phrase"))
+    return match.containing(lx.normalized(lx.documents(spark, d)), phrases).select(F.col("id").alias("doc_id"), "tid")
+
+
+def sql_walk(like: str, rules: str = "rules3") -> str:
+    """``walk``(id, tid): three-word rules, every next word the nearest within four of the one before, from every start."""
+    part = lambda k: f"split_part(r.normalized_term, ' ', {k})"
+    return f"""step1 as (select r.tid, r.normalized_term, a.id, a.pos from {rules} r join {like} a on a.target = {part(1)}),
+step2 as (select r.tid, r.normalized_term, r.id, r.pos as start, min(b.pos) as pos from step1 r join {like} b on b.id = r.id and b.target = {part(2)} and b.pos > r.pos and b.pos <= r.pos + 4 group by all),
+walk as (select distinct r.tid, r.id from step2 r join {like} c on c.id = r.id and c.target = {part(3)} and c.pos > r.pos and c.pos <= r.pos + 4)"""
+
+
+@query(with_("docs bw rules3 place", f", like_ as (select id, pos, word as target from place), {sql_walk('like_')} select id as doc_id, tid from walk"))
+def combination_window_three(spark: SparkSession, d: str) -> DataFrame:
+    return match.ordered_windows(lx.normalized(lx.documents(spark, d)), lx.rules3(spark, d), None).select(F.col("id").alias("doc_id"), "tid")
+
+
+NEAR_THREE = sql_near("fr", "select word as text from place", "select unnest(string_split(normalized_term, ' ')) as target from rules3", match.TOKEN_RATIO)
+
+
+@query(with_("docs bw rules3 place", f", {NEAR_THREE}, like_ as materialized (select p.id, p.pos, fr.target from place p join fr on p.word = fr.text), {sql_walk('like_')} select id as doc_id, tid from walk"))
+def combination_window_fuzzy_three(spark: SparkSession, d: str) -> DataFrame:
+    return match.ordered_windows(lx.normalized(lx.documents(spark, d)), lx.rules3(spark, d)).select(F.col("id").alias("doc_id"), "tid")
+
+
+@query(with_("docs bw rules place", f", {sql_fuzzy_window('place')} select id as doc_id, tid from fuzzy_window"))
+def combination_window_fuzzy_documents(spark: SparkSession, d: str) -> DataFrame:
+    return match.ordered_windows(lx.normalized(lx.documents(spark, d)), lx.rules(spark, d)).select(F.col("id").alias("doc_id"), "tid")
+
+
+@query(with_("msgs bw rules mplace", f", {sql_fuzzy_window('mplace')} select id, tid from fuzzy_window"))
 def combination_window_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return match.ordered_windows(lx.normalized(lx.messages(spark, d)), lx.rules(spark, d)).select("id", "tid")
 
 
-CLASSIFIED = f"""{EXACT}, {SUBSTRING}, {COMBO_SUB}, {COMBO_WIN},
-hit as (select m.id, t.term, t.risk_level, t.action from (select * from exact_ union select * from substring_) m join terms t using (tid)),
+EXACT_MATCHES = (f"{EXACT}, {SUBSTRING}, {COMBO_SUB}, {COMBO_WIN}", "select * from exact_ union select * from substring_", "select * from combo_sub union select * from combo_win")
+FULL_MATCHES = (
+    f"{EXACT}, {SUBSTRING}, {COMBO_SUB}, {FUZZY_WORDS}, {sql_fuzzy_grams('place')}, {sql_fuzzy_window('place')}",
+    "select * from exact_ union select * from substring_ union select * from fuzzy_words union select * from fuzzy_grams", "select * from combo_sub union select * from fuzzy_window",
+)
+
+
+def sql_classified(found: tuple[str, str, str]) -> str:
+    ctes, terms, combinations = found
+    return f"""{ctes},
+hit as (select m.id, t.term, t.risk_level, t.action from ({terms}) m join terms t using (tid)),
 bt as (select id, max(risk_level) filter (action <> 'ALLOW') as risk, max(risk_level) filter (action = 'ALLOW') as white, bool_or(action = 'BLOCK') as block, string_agg(distinct term, '|' order by term) as matched_terms from hit group by id),
-bc as (select id, max(r.risk_level) as rule, string_agg(distinct r.term, '|' order by r.term) as matched_combination from (select * from combo_sub union select * from combo_win) m join rules r using (tid) group by id),
+bc as (select id, max(r.risk_level) as rule, string_agg(distinct r.term, '|' order by r.term) as matched_combination from ({combinations}) m join rules r using (tid) group by id),
 classified as (select d.id as doc_id, cast(coalesce(greatest(risk, rule), white, 0) as integer) as risk_score, case when risk is not null or rule is not null then 'BLOCK' else 'ALLOW' end as action,
   coalesce(matched_terms, '') as matched_terms, coalesce(matched_combination, '') as matched_combination,
   case when coalesce(block, false) and rule is not null then '{REASON_TERM}; {REASON_COMBINATION}' when block then '{REASON_TERM}' when rule is not null then '{REASON_COMBINATION}' else '{REASON_NONE}' end as reason
   from docs d left join bt using (id) left join bc using (id))"""
 
 
+CLASSIFIED = sql_classified(EXACT_MATCHES)
+
+
 def _classified(spark: SparkSession, d: str, fuzzy: bool) -> DataFrame:
     return classify(lx.documents(spark, d), lx.terms(spark, d), lx.rules(spark, d), lx.safe(spark), fuzzy)
 
@@ -275,7 +390,7 @@ def classify_exact(spark: SparkSession, d: str) -> DataFrame:
     return _flat(_classified(spark, d, False))
 
 
-@query()
+@query(with_(TERM_CTES, f", {sql_classified(FULL_MATCHES)} select * from classified"))
 def classify_full(spark: SparkSession, d: str) -> DataFrame:
     return _flat(_classified(spark, d, True))
 
@@ -309,25 +424,36 @@ def validate_segments(spark: SparkSession, d: str) -> DataFrame:
     return validate.segments(lx.messages(spark, d), *_lists(spark, d))
 
 
-MSG_COMBO = COMBO_SUB.replace("docs d", "msgs d") + ", mplace as (select id, unnest(w) as word, unnest(range(0, len(w))) as pos from (select id, [x for x in string_split(nx, ' ') if x <> ''] as w from msgs)), " + COMBO_WIN.replace("place a", "mplace a").replace("place b", "mplace b")
-
-
-@query(
-    with_(
-        "msgs bw words phrases rules terms",
-        f""", {SEGMENTS}, {MSG_COMBO},
+def sql_validated(window: str, combinations: str) -> str:
+    return with_(
+        "msgs bw words phrases rules terms mplace",
+        f""", {SEGMENTS}, {window},
 s as (select id, string_agg(value || ':' || status, '|' order by pos) as segments, bool_or(status = 'BLOCK') as block, bool_or(status = 'UNKNOWN') as unknown, string_agg(distinct value, '|' order by value) filter (status <> 'UNKNOWN') as matched_terms from segments group by id),
-c as (select id, string_agg(distinct r.term, '|' order by r.term) as matched_combinations from (select * from combo_sub union select * from combo_win) m join rules r using (tid) group by id)
+c as (select id, string_agg(distinct r.term, '|' order by r.term) as matched_combinations from ({combinations}) m join rules r using (tid) group by id)
 select m.id, nx as normalized_text, case when coalesce(block, false) or matched_combinations is not null then 'BLOCK' when unknown then 'UNKNOWN' else 'ALLOW' end as overall_status,
   coalesce(segments, '') as segments, coalesce(matched_terms, '') as matched_terms, coalesce(matched_combinations, '') as matched_combinations from msgs m left join s using (id) left join c using (id)""",
     )
-)
-def validate_detailed(spark: SparkSession, d: str) -> DataFrame:
-    found = validate.validate_detailed(lx.messages(spark, d), *_lists(spark, d), lx.rules(spark, d), None)
+
+
+MSG_SUB, MSG_WIN = COMBO_SUB.replace("docs d", "msgs d"), COMBO_WIN.replace("place a", "mplace a").replace("place b", "mplace b")
+
+
+def _validated(spark: SparkSession, d: str, threshold: float | None) -> DataFrame:
+    found = validate.validate_detailed(lx.messages(spark, d), *_lists(spark, d), lx.rules(spark, d), threshold)
     seg = F.array_join(F.transform("segments", lambda s: F.concat_ws(":", s["value"], s["status"])), "|")
     return found.select("id", "normalized_text", "overall_status", seg.alias("segments"), F.array_join("matched_terms", "|").alias("matched_terms"), F.array_join("matched_combinations", "|").alias("matched_combinations"))
 
 
+@query(sql_validated(f"{MSG_SUB}, {MSG_WIN}", "select * from combo_sub union select * from combo_win"))
+def validate_detailed(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d, None)
+
+
+@query(sql_validated(f"{MSG_SUB}, {sql_fuzzy_window('mplace')}", "select * from combo_sub union select * from fuzzy_window"))
+def validate_detailed_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return _validated(spark, d, match.TOKEN_RATIO)
+
+
 # --- suggestions ------------------------------------------------------------
 
 LISTED = f"""listed as (select display_term, normalized_term, source_type, f, ord from (
@@ -350,6 +476,14 @@ def suggestion_list(spark: SparkSession, d: str) -> DataFrame:
     return _suggestions(spark, d).select("display_term", "normalized_term", "source_type")
 
 
+@query(with_(SUGGEST_CTES, f", {LISTED} select display_term, source_type, row_number() over (order by f, ord) as place from listed"))
+def suggestion_order(spark: SparkSession, d: str) -> DataFrame:
+    """The suggestion list in order: nested unions keep it."""
+    from pyspark.sql import Window
+
+    return _suggestions(spark, d).select("display_term", "source_type", F.row_number().over(Window.orderBy("ord")).alias("place"))
+
+
 @query(with_(SUGGEST_CTES, f", {LISTED}, {INDEXED} select * from index_"))
 def suggestion_prefix_index(spark: SparkSession, d: str) -> DataFrame:
     return suggest.prefix_index(_suggestions(spark, d))
@@ -400,6 +534,12 @@ def browse_filtered(spark: SparkSession, d: str) -> DataFrame:
     return browse.page_of(_shape(spark, d), query="Er", letter="t")
 
 
+@query(with_("bw words phrases terms", f"select 'blacklist' as list, count(*) as total, least(count(*), 100) as items from terms where action = 'BLOCK' and {LETTER} = 'T' and contains(normalized_term, 'er')"))
+def browse_total(spark: SparkSession, d: str) -> DataFrame:
+    answer = browse.browse(lx.terms(spark, d).where("action = 'BLOCK'"), "blacklist", query="er", letter="T")
+    return spark.createDataFrame([(answer["list"], answer["total"], len(answer["items"]))], "list string, total long, items long")
+
+
 # --- review, overrides, exports ---------------------------------------------
 
 POLICY = review.Policy(approved_terms=["there"], false_positives=["therea", "inge"])
@@ -448,6 +588,23 @@ def overrides_applied(spark: SparkSession, d: str) -> DataFrame:
     return black.select(F.lit("black").alias("list"), *cols).unionByName(white.select(F.lit("white").alias("list"), *cols))
 
 
+@query(
+    with_(
+        "bw words phrases terms",
+        """, o as (select distinct w.term, w.normalized_term, case when w.tid % 2 = 0 then 'ALLOW' else 'BLOCK' end as action from words w)
+select 'black' as list, term, normalized_term, action from terms where action = 'BLOCK' and normalized_term not in (select normalized_term from o) union all select 'black', term, normalized_term, action from o where action = 'BLOCK'
+union all select 'white', term, normalized_term, action from terms where action = 'ALLOW' and normalized_term not in (select normalized_term from o) union all select 'white', term, normalized_term, action from o where action = 'ALLOW'""",
+    )
+)
+def overrides_whole_list(spark: SparkSession, d: str) -> DataFrame:
+    """A request about every word of the lexicon."""
+    asked = lx.words(spark, d).select("term", F.when(F.col("tid") % 2 == 0, "ALLOW").otherwise("BLOCK").alias("action"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    rows = lx.terms(spark, d)
+    black, white = overrides.apply_overrides(rows.where("action = 'BLOCK'"), rows.where("action = 'ALLOW'"), overrides.override_rows(asked))
+    cols = ["term", "normalized_term", "action"]
+    return black.select(F.lit("black").alias("list"), *cols).unionByName(white.select(F.lit("white").alias("list"), *cols))
+
+
 @query(f"{BUILD_SQL} select distinct term from built where list = 'white' and term <> ''")
 def words_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.words_only(_lexicon(spark, d)[1])
@@ -471,8 +628,177 @@ def lists_union(spark: SparkSession, d: str) -> DataFrame:
     """Bag union of lists, order kept: each row's place within its list."""
     from pyspark.sql import Window
 
-    both = in_order(lx.words(spark, d), lx.phrases(spark, d)).withColumn("f", F.shiftright("ord", 56).cast("int"))
+    both = in_order(lx.words(spark, d), lx.phrases(spark, d)).withColumn("f", F.col("ord")[0].cast("int"))
     return both.select("term", "f", F.row_number().over(Window.partitionBy("f").orderBy("ord", "tid")).alias("rank"))
 
 
-assert SQL
+# --- files: written, then read back -----------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share, removed when the driver ends; local only for a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/termloom-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def _term_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(*src.TERM_FIELDS, "ord")
+
+
+LIST_SQL = "term, normalized_term, category, source, risk_level, action, 0.9::double as confidence, '' as notes"
+
+
+@query(with_("bw words phrases terms", f"select {LIST_SQL} from terms"))
+def csv_list_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A list written as CSV and scanned again: empty fields stay empty."""
+    path = _folder(spark)
+    sinks.write_csv(_term_rows(lx.terms(spark, d)), path, src.TERM_FIELDS)
+    return src.read_csv(spark, path, src.TERM)
+
+
+@query(with_("bw words phrases terms", f"select {LIST_SQL} from terms where action = 'BLOCK' and 1 = 0"))
+def csv_missing_scan(spark: SparkSession, d: str) -> DataFrame:
+    return src.read_csv_or_empty(spark, f"{_folder(spark)}/absent", src.TERM)
+
+
+@query(with_("bw words phrases terms", "select term, action, case action when 'BLOCK' then 0 when 'MANUAL_REVIEW' then 1 else 2 end as f, row_number() over (partition by action order by term, ord) as place from terms"))
+def csv_union_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Three lists, each sorted and written as one or more files, scanned in order: the place of each row within its list."""
+    from pyspark.sql import Window
+
+    path = _folder(spark)
+    for action in ("BLOCK", "MANUAL_REVIEW", "ALLOW"):
+        sinks.write_csv(lx.terms(spark, d).where(F.col("action") == action).orderBy("term", "ord").select(*src.TERM_FIELDS), f"{path}/{action}", src.TERM_FIELDS)
+    rows = src.read_terms(spark, [f"{path}/{a}" for a in ("BLOCK", "MANUAL_REVIEW", "ALLOW")]).withColumn("f", F.col("ord")[0].cast("int"))
+    return rows.select("term", "action", "f", F.row_number().over(Window.partitionBy("f").orderBy("ord")).alias("place"))
+
+
+@query(with_("bw rules", "select term as phrase, normalized_term as normalized_phrase, 'High' as risk_label, risk_level as risk_score, '' as notes from rules"))
+def csv_combination_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Combinations written as CSV, scanned, and loaded as typed rules."""
+    path = _folder(spark)
+    sinks.write_csv(_combination_rows(spark, d), path, src.COMBINATION_FIELDS)
+    return src.rules(src.read_csv(spark, path, src.COMBINATION))
+
+
+WORD_LINES = "select unnest(string_split(p_name || '\n  ' || p_brand || ' \n\n', '\n')) as line from part"
+
+
+@query(f"select trim(line) as term, {sql_norm('trim(line)')} as normalized_term, 'general_lexicon' as category, 'external_word_list' as source, 0 as risk_level, 'ALLOW' as action, 0.45::double as confidence, '' as notes from ({WORD_LINES}) where trim(line) <> ''")
+def word_list_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of words, some blank, some padded, as external rows."""
+    path = _folder(spark)
+    lx.read(spark, d, "part").select(F.concat("p_name", F.lit("\n  "), "p_brand", F.lit(" \n\n")).alias("value")).write.text(path)
+    return src.read_words(spark, path).drop("ord")
+
+
+@query(
+    f"""{BUILD_SQL}, {SQL['rules']}, black as (select * from built where list = 'black'), white as (select * from built where list = 'white'),
+files as (select 'all_terms' as file, count(*) as n from built union all select 'blacklist', count(*) from black union all select 'greylist', 0 union all select 'whitelist', count(*) from white
+  union all select 'combinations', count(*) from rules union all select 'blacklist_words', count(distinct term) from black where term <> '' union all select 'whitelist_words', count(distinct term) from white where term <> ''
+  union all select 'combination_words', count(distinct term) from rules where term <> '' union all select 'whitelist_parts/manifest', (count(distinct term) + 9999) // 10000 from white where term <> '')
+select file, n from files"""
+)
+def build_export_files(spark: SparkSession, d: str) -> DataFrame:
+    """Build, publish, and count the rows of every file of the version."""
+    black, white = _lexicon(spark, d)
+    path = _folder(spark)
+    number = store.publish(black.select(*src.TERM_FIELDS), white.select(*src.TERM_FIELDS), _combination_rows(spark, d), path)
+    files = ["all_terms", "blacklist", "greylist", "whitelist", "combinations", "blacklist_words", "whitelist_words", "combination_words", "whitelist_parts/manifest"]
+    counts = [spark.read.option("header", True).csv(f"{path}/versions/{number}/{f}").select(F.lit(f).alias("file")) for f in files]
+    each = counts[0]
+    for one in counts[1:]:
+        each = each.unionByName(one)
+    domain = spark.createDataFrame([(f,) for f in files], "file string")
+    return domain.join(each.groupBy("file").agg(F.count("*").alias("n")), "file", "left").select("file", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def _combination_rows(spark: SparkSession, d: str) -> DataFrame:
+    return lx.rules(spark, d).select(
+        F.col("phrase").alias("combination"), F.col("normalized_phrase").alias("normalized_combination"), F.lit("c").alias("category"), F.lit("s").alias("source"),
+        F.lit("High").alias("risk"), F.col("risk_score").alias("risk_level"), F.lit("BLOCK").alias("action"), F.lit(0.9).alias("confidence"), F.lit("").alias("notes"),
+    )
+
+
+def _published(spark: SparkSession, d: str) -> str:
+    """The lexicon's terms as a published version; its folder."""
+    path = _folder(spark)
+    rows = _term_rows(lx.terms(spark, d)).drop("ord")
+    built = store.ensure(spark, path, lambda: (rows.where("action = 'BLOCK'"), rows.where("action = 'ALLOW'"), _combination_rows(spark, d)))
+    if not built or store.ensure(spark, path, lambda: (_ for _ in ()).throw(AssertionError("built twice"))):
+        raise AssertionError("a folder is built once")
+    return path
+
+
+@query(with_("bw words phrases terms", f"select case action when 'BLOCK' then 'blacklist' else 'whitelist' end as list, {LIST_SQL} from terms where action in ('BLOCK', 'ALLOW')"))
+def lists_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Lists built because none were there, then read from the version in force."""
+    own = store.lists(spark, _published(spark, d))
+    return own["blacklist"].select(F.lit("blacklist").alias("list"), *src.TERM_FIELDS).unionByName(own["whitelist"].select(F.lit("whitelist").alias("list"), *src.TERM_FIELDS))
+
+
+@query(
+    with_(
+        "bw words phrases terms",
+        f""", rh as (select normalized_term, arg_min(category, rule_ord) as hit from (select distinct t.normalized_term, p.rule_ord, p.category from terms t join bp p on t.normalized_term = p.pattern or (length(p.pattern) > 3 and starts_with(t.normalized_term, p.pattern))) group by 1),
+x as (select t.*, case action when 'BLOCK' then 'black' else 'white' end as list, hit, contains(normalized_term, 'therea') or contains(normalized_term, 'inge') as fam from terms t left join rh using (normalized_term) where action in ('BLOCK', 'ALLOW'))
+select term, normalized_term, action as decision, split_part({REVIEW_CASE}, '|', 1) as confidence, split_part({REVIEW_CASE}, '|', 2) as review_bucket, source from x""",
+    ).replace("with recursive ", f"with recursive {BLACK_SQL}, ", 1)
+)
+def review_file(spark: SparkSession, d: str) -> DataFrame:
+    """The review of a published version, written as a list and read back."""
+    path = store.review_file(spark, _published(spark, d), lx.patterns(spark), POLICY)
+    return src.read_csv(spark, path, src.REVIEW).drop("reason")
+
+
+@query(
+    with_(
+        "bw words phrases terms",
+        """, asked as (select term, normalized_term from words order by ord, tid limit 1)
+select 'blacklist' as list, term, normalized_term, action, 2 as version from terms where action = 'BLOCK' and normalized_term not in (select normalized_term from asked)
+union all select 'whitelist', term, normalized_term, action, 2 from terms where action = 'ALLOW' and normalized_term not in (select normalized_term from asked)
+union all select 'whitelist', term, normalized_term, 'ALLOW', 2 from asked union all select 'history', term, normalized_term, 'ALLOW', 2 from asked""",
+    )
+)
+def override_persisted(spark: SparkSession, d: str) -> DataFrame:
+    """One override of a published version: the lists of the next version and the history."""
+    path = _published(spark, d)
+    word = lx.words(spark, d).orderBy("ord", "tid").first().term
+    store.override(spark, path, word, "ALLOW")
+    own, at = store.lists(spark, path), F.lit(store.current(spark, path)).alias("version")
+    cols = ["term", "normalized_term", "action"]
+    frames = [own[k].select(F.lit(k).alias("list"), *cols, at) for k in ("blacklist", "whitelist")]
+    return frames[0].unionByName(frames[1]).unionByName(store.history(spark, path).select(F.lit("history").alias("list"), *cols, at))
+
+
+@query(with_(SUGGEST_CTES, f", {LISTED.replace('from approved where', 'from approved where 1 = 0 and')}, {INDEXED} select 'before' as at, rk, display_term from index_ where prefix = 'th' and rk <= 12 union all select 'after', cast(row_number() over (order by rk) as integer), display_term from (select * from index_ where prefix = 'th' and normalized_term <> (select normalized_term from index_ where prefix = 'th' and rk = 1) order by rk limit 12)"))
+def catalog_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions of a cached catalog before and after its first one is blocked."""
+    path = _folder(spark)
+    rows = lx.terms(spark, d)
+    lists = [_term_rows(rows.where(F.col("action") == a)) for a in ("BLOCK", "ALLOW")]
+    store.publish(*lists, _combination_rows(spark, d), path)
+    catalog = store.Catalog(spark, path)
+    before = catalog.suggest("th").select("rk", "display_term").collect()
+    catalog.override(before[0].display_term, "BLOCK")
+    after = catalog.suggest("th").select("rk", "display_term").collect()
+    found = [("before", r.rk, r.display_term) for r in before] + [("after", r.rk, r.display_term) for r in after]
+    return spark.createDataFrame(found, "at string, rk int, display_term string")
+
+
+@query(with_(TERM_CTES, f", {CLASSIFIED} select d.text as input_text, action, risk_score from classified join docs d on d.id = doc_id where action <> 'ALLOW'"))
+def audit_log_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The audit log appended to a folder, read back as lines."""
+    path = _folder(spark)
+    docs = lx.documents(spark, d).withColumn("h", F.xxhash64("text"))
+    found = _classified(spark, d, False).join(docs, "id")
+    sinks.append_audit(found, path)
+    j = F.from_json("value", "input_text string, result struct<risk_score:int,action:string>")
+    return spark.read.text(path).select(j.alias("j")).select("j.input_text", "j.result.action", "j.result.risk_score")

@@ -64,6 +64,25 @@ def _pairs(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
     return two.where((F.length("a") >= 4) & (F.length("b") >= 4)).select("item_id", "pos", F.concat_ws(" ", "a", "b").alias("term"))
 
 
+def _triples(spark: SparkSession, sf_dir: str, places: tuple[int, int, int]) -> DataFrame:
+    last = places[2]
+    w = _bench_words(spark, sf_dir).where(F.size("w") > last)
+    i = F.explode(F.sequence(F.lit(0), F.size("w") - 1 - last)).alias("pos")
+    three = w.select("item_id", "w", i).select("item_id", "pos", *[F.element_at("w", F.col("pos") + 1 + p).alias(f"w{k}") for k, p in enumerate(places)])
+    return three.where(" and ".join(f"length(w{k}) >= 4" for k in range(3))).select("item_id", "pos", F.concat_ws(" ", "w0", "w1", "w2").alias("term"))
+
+
+def phrases3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word terms."""
+    return _owned(_triples(spark, sf_dir, (0, 1, 2))).withColumns({"tid": F.col("tid") + 70000, "ord": F.col("ord") + 70000})
+
+
+def rules3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word rules: a word, the next but one, and the one after that."""
+    rows = _owned(_triples(spark, sf_dir, (0, 2, 3)))
+    return rows.select((F.col("tid") + 80000).alias("tid"), F.col("term").alias("phrase"), F.col("term").alias("normalized_phrase"), F.col("risk_level").alias("risk_score"))
+
+
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word terms."""
     return _owned(_pairs(spark, sf_dir, 1)).withColumns({"tid": F.col("tid") + 50000, "ord": F.col("ord") + 50000})
@@ -158,6 +177,13 @@ def _sql_pairs(gap: int) -> str:
     where length(w[pos + 1]) >= 4 and length(w[pos + 1 + {gap}]) >= 4"""
 
 
+def _sql_triples(places: tuple[int, int, int]) -> str:
+    w = [f"w[pos + 1 + {p}]" for p in places]
+    return f"""select item_id, pos, {w[0]} || ' ' || {w[1]} || ' ' || {w[2]} as term
+    from (select item_id, w, unnest(range(0, len(w) - {places[2]})) as pos from bw where len(w) > {places[2]})
+    where {' and '.join(f'length({x}) >= 4' for x in w)}"""
+
+
 SQL = {
     "docs": f"docs as (select doc_id as id, text, {sql_norm("coalesce(text, '')")} as nx from documents)",
     "msgs": f"msgs as (select conv_id * 1000 + turn as id, text, {sql_norm("coalesce(text, '')")} as nx from conversations)",
@@ -165,6 +191,9 @@ SQL = {
     "words": _sql_owned("words", "select item_id, pos, w[pos + 1] as term from (select item_id, w, unnest(range(0, len(w))) as pos from bw) where length(w[pos + 1]) >= 5"),
     "phrases": _sql_owned("phrases", _sql_pairs(1), 50000),
     "rules": _sql_owned("rules", _sql_pairs(2)),
+    "phrases3": _sql_owned("phrases3", _sql_triples((0, 1, 2)), 70000),
+    "rules3": _sql_owned("rules3", _sql_triples((0, 2, 3)), 80000),
+    "mplace": "mplace as (select id, unnest(w) as word, unnest(range(0, len(w))) as pos from (select id, [x for x in string_split(nx, ' ') if x <> ''] as w from msgs))",
     "terms": "terms as (select * from words union all select * from phrases)",
     "place": "place as (select id, unnest(w) as word, unnest(range(0, len(w))) as pos from (select id, [x for x in string_split(nx, ' ') if x <> ''] as w from docs))",
     "approved": "approved as (select p_name as resource_name, case when p_size % 4 = 0 then 'BLOCK' else 'ALLOW' end as action, p_partkey as ord from part)",
@@ -173,8 +202,33 @@ SQL = {
 }
 
 
+def sql_block(a: str, b: str) -> str:
+    """The longest common part of two strings, the first in a and then in b: struct(l, i, j), places from 1."""
+    longest = f"list_max([l for l in range(0, length({a}) - i + 2) if contains({b}, substr({a}, i, l))])"
+    lengths = f"[{longest} for i in range(1, length({a}) + 1)]"
+    return f"""(select struct_pack(l := m, i := list_position(ls, m), j := instr({b}, substr({a}, cast(list_position(ls, m) as bigint), cast(m as bigint))))
+      from (select ls, list_max(ls) as m from (select {lengths} as ls)))"""
+
+
+def sql_near(name: str, texts: str, targets: str, threshold: float) -> str:
+    """``name``(text, target, ratio): Ratcliff/Obershelp ratio of at least the threshold, of distinct texts and targets.
+
+    Pairs are cut down by length and edit distance first. The distance counts
+    bytes, so beyond ASCII four times the bound is let through.
+    """
+    size = "(length(text) + length(target))"
+    wide = "case when strlen(text) = length(text) and strlen(target) = length(target) then 1 else 4 end"
+    return f"""{name}_c as materialized (select text, target from (select distinct text from ({texts})) join (select distinct target from ({targets}))
+    on 2 * least(length(text), length(target)) >= {threshold} * {size} - 1e-9 where text <> '' and levenshtein(text, target) <= floor((1 - {threshold}) * {size} + 1e-9) * {wide}),
+{name}_s as (select text, target, text as a, target as b, {sql_block('text', 'target')} as x from {name}_c
+  union all select text, target, y.a, y.b, {sql_block('y.a', 'y.b')} from
+    (select text, target, unnest([struct_pack(a := substr(a, 1, x.i - 1), b := substr(b, 1, x.j - 1)), struct_pack(a := substr(a, x.i + x.l), b := substr(b, x.j + x.l))]) as y from {name}_s where x.l > 0)
+    where y.a <> '' and y.b <> ''),
+{name} as materialized (select text, target, case when text = target then 1.0::double else cast(2 as double) * sum(x.l) / {size} end as ratio from {name}_s group by text, target having ratio >= {threshold}::double)"""
+
+
 def with_(names: str, select: str) -> str:
-    return "with " + ",\n".join(SQL[n] for n in names.split()) + "\n" + select
+    return "with recursive " + ",\n".join(SQL[n] for n in names.split()) + "\n" + select
 
 
 assert set(CONSTRUCT) <= set(BASES)

@@ -1,7 +1,7 @@
 """Sources: schemas and scans of lexicon files, word lists and literal relations.
 
 Order is part of the model (first or last row wins), so every source carries an
-explicit ``ord``.
+explicit ``ord``: a number, or an array of numbers compared from the left.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import normalize_text
 
@@ -42,17 +43,29 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_csv(spark, path, schema)
 
 
-def with_ord(df: DataFrame, offset: int = 0) -> DataFrame:
-    """File order as a column. Word lists are single files, so one partition's counter is their line order."""
-    return df.coalesce(1).withColumn("ord", F.monotonically_increasing_id() + offset)
+def with_ord(df: DataFrame) -> DataFrame:
+    """File order as a column: file by name, block within the file, row within the block.
+
+    The scan keeps its tasks. Rows that come from no file are in the order of
+    their partitions.
+    """
+    row = F.monotonically_increasing_id()
+    files = sorted(df.inputFiles())
+    if not files:
+        return df.withColumn("ord", F.array(row))
+    number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+    return df.withColumn("ord", F.array(number[F.col("_metadata.file_path")].cast("long"), F.col("_metadata.file_block_start"), row))
+
+
+def levels(df: DataFrame) -> Column:
+    """``ord`` as an array, whichever of its two forms it has."""
+    return F.col("ord") if isinstance(df.schema["ord"].dataType, ArrayType) else F.array(F.col("ord").cast("long"))
 
 
 def in_order(*frames: DataFrame) -> DataFrame:
-    """Bag union of ord-carrying frames, each after the one before."""
-    marked = [f.withColumn("_file", F.lit(i)) for i, f in enumerate(frames)]
-    whole = reduce(DataFrame.unionByName, marked)
-    # file number in the high bits: no count of the earlier frames is needed
-    return whole.withColumn("ord", F.shiftleft(F.col("_file").cast("long"), 56) + F.col("ord")).drop("_file")
+    """Bag union of ord-carrying frames, each after the one before. Unions may be nested to any depth."""
+    marked = [f.withColumn("ord", F.concat(F.array(F.lit(i).cast("long")), levels(f))) for i, f in enumerate(frames)]
+    return reduce(DataFrame.unionByName, marked)
 
 
 def read_terms(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
@@ -90,7 +103,7 @@ def seed_rows(seeds: DataFrame, action: str, source: str | None, confidence: flo
     """Literal relation (term, category, risk_level, notes[, source], ord) to term rows."""
     return seeds.select(
         "term", normalize_text(F.col("term")).alias("normalized_term"), "category", (F.lit(source) if source is not None else F.col("source")).alias("source"),
-        F.col("risk_level").cast("int").alias("risk_level"), F.lit(action).alias("action"), F.lit(confidence).alias("confidence"), "notes", F.col("ord").cast("long").alias("ord"),
+        F.col("risk_level").cast("int").alias("risk_level"), F.lit(action).alias("action"), F.lit(confidence).alias("confidence"), "notes", "ord",
     )
 
 

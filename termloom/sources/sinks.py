@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lexicon import COMBINATION_FIELDS, TERM, TERM_FIELDS
+from .lexicon import COMBINATION_FIELDS, TERM, TERM_FIELDS, in_order
 
 PART_SIZE = 10_000
 
 
 def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Header CSV of exactly ``fields``, overwriting. A column outside them is an error."""
+    """Header CSV of exactly ``fields``, overwriting, in order of ord where there is one. Another column is an error."""
     extra = set(df.columns) - set(fields) - {"ord"}
     if extra:
         raise ValueError(f"columns not in the field list: {sorted(extra)}")
-    df.select(*fields).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    rows = df.orderBy("ord") if "ord" in df.columns else df
+    rows.select(*fields).write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 
 def words_only(df: DataFrame, key: str = "term") -> DataFrame:
@@ -26,14 +27,25 @@ def words_only(df: DataFrame, key: str = "term") -> DataFrame:
 def parts(df: DataFrame, size: int = PART_SIZE, key: str = "term") -> DataFrame:
     """``part, term``: the sorted distinct words cut into parts of ``size``.
 
-    The place of a word is counted in two steps, ranges of words by their first
-    characters and then inside each, so no task sorts the whole list.
+    The place of a word is counted in steps: words before its first character,
+    before its first three within that, before its first seven within those, and
+    the words inside. So no task sorts the whole list, and a task that numbers
+    words holds only those that share seven characters.
     """
-    words = df.select(F.col(key).alias("term")).where("coalesce(term, '') <> ''").distinct().withColumn("head", F.substring("term", 1, 2))
-    heads = words.groupBy("head").agg(F.count("*").alias("n"))
-    before = heads.select("head", (F.sum("n").over(Window.orderBy("head")) - F.col("n")).alias("before"))  # one row for each two-character head
-    inside = words.withColumn("i", F.row_number().over(Window.partitionBy("head").orderBy("term")))
-    return inside.join(before, "head").select((F.floor((F.col("before") + F.col("i") - 1) / size) + 1).cast("int").alias("part"), "term")
+    words = df.select(F.col(key).alias("term")).where("coalesce(term, '') <> ''").distinct()
+    heads = [F.substring("term", 1, n).alias(f"h{n}") for n in (1, 3, 7)]
+    counts = words.select(*heads).groupBy("h1", "h3", "h7").agg(F.count("*").alias("n"))
+    three = counts.groupBy("h1", "h3").agg(F.sum("n").alias("n"))
+    one = three.groupBy("h1").agg(F.sum("n").alias("n"))
+
+    def before(rows: DataFrame, within: list[str], by: str) -> DataFrame:
+        order = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(by)
+        return rows.select(*within, by, (F.sum("n").over(order) - F.col("n")).alias(f"before_{by}"))
+
+    placed = before(counts, ["h1", "h3"], "h7").join(before(three, ["h1"], "h3"), ["h1", "h3"]).join(before(one, [], "h1"), "h1")
+    start = placed.select("h7", (F.col("before_h1") + F.col("before_h3") + F.col("before_h7")).alias("before"))
+    inside = words.withColumn("h7", F.substring("term", 1, 7)).withColumn("i", F.row_number().over(Window.partitionBy("h7").orderBy("term")))
+    return inside.join(start, "h7").select((F.floor((F.col("before") + F.col("i") - 1) / size) + 1).cast("int").alias("part"), "term")
 
 
 def manifest(part_rows: DataFrame, stem: str = "words_part") -> DataFrame:
@@ -50,7 +62,8 @@ def write_parts(df: DataFrame, directory: str, size: int = PART_SIZE, stem: str
 def export_all(black: DataFrame, white: DataFrame, combinations: DataFrame, directory: str) -> None:
     """All outputs of one build: full, black, grey (empty by design), white, combinations, word lists, parts."""
     spark = black.sparkSession
-    write_csv(black.unionByName(white), f"{directory}/all_terms", TERM_FIELDS)
+    every = in_order(black, white) if "ord" in black.columns and "ord" in white.columns else black.unionByName(white)
+    write_csv(every, f"{directory}/all_terms", TERM_FIELDS)
     write_csv(black, f"{directory}/blacklist", TERM_FIELDS)
     write_csv(spark.createDataFrame([], TERM), f"{directory}/greylist", TERM_FIELDS)
     write_csv(white, f"{directory}/whitelist", TERM_FIELDS)
