@@ -6,6 +6,7 @@ explicit ``ord``: a number, or an array of numbers compared from the left.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from functools import reduce
 
@@ -53,8 +54,10 @@ def with_ord(df: DataFrame) -> DataFrame:
     files = sorted(df.inputFiles())
     if not files:
         return df.withColumn("ord", F.array(row))
-    number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
-    return df.withColumn("ord", F.array(number[F.col("_metadata.file_path")].cast("long"), F.col("_metadata.file_block_start"), row))
+    # a local file's name has one slash in the one listing and three in the other
+    number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(re.sub("^file:/+", "file:/", f)), F.lit(i))])
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
+    return df.withColumn("ord", F.array(number[name].cast("long"), F.col("_metadata.file_block_start"), row))
 
 
 def levels(df: DataFrame) -> Column:
