@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,19 @@ def row_key(docs: DataFrame):
     return F.struct(F.col("id").alias("id"), F.xxhash64("text").alias("text"))
 
 
-def classify(docs: DataFrame, terms: DataFrame, rules: DataFrame, safe: DataFrame | None = None, fuzzy: bool = True) -> DataFrame:
+def classify(docs: DataFrame, terms: DataFrame, rules: DataFrame, safe: DataFrame | None = None, fuzzy: bool = True, hold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``id, risk_score, action, matched_terms, matched_combination, normalized_text, reason``.
 
     docs: id, text. terms: tid, term, normalized_term, risk_level, action.
     rules: tid, phrase, normalized_phrase, risk_score. Texts without any match
     score 0 and are ALLOW. ``fuzzy=False`` keeps to exact and substring matches
     and equal-token windows; then no Python runs. Every row has its own result,
-    ids may be null or repeated; other columns of docs are left out.
+    ids may be null or repeated; other columns of docs are left out. Every kind
+    of match reads the normalized texts: ``hold`` may keep them meanwhile, such
+    as ``DataFrame.persist`` or a write into a shared folder.
     """
     base = docs.select(row_key(docs).alias("id"), normalize_text(F.coalesce(F.col("text"), F.lit(""))).alias("nx"))
+    base = base if hold is None else hold(base)
     if fuzzy and safe is None:
         safe = docs.sparkSession.createDataFrame([], "normalized_term string")
     found = match.term_matches(base, terms, safe if fuzzy else None).join(terms.select("tid", "term", "risk_level", "action"), "tid")

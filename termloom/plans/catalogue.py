@@ -378,7 +378,8 @@ CLASSIFIED = sql_classified(EXACT_MATCHES)
 
 
 def _classified(spark: SparkSession, d: str, fuzzy: bool) -> DataFrame:
-    return classify(lx.documents(spark, d), lx.terms(spark, d), lx.rules(spark, d), lx.safe(spark), fuzzy)
+    terms, rules = lx.terms(spark, d).persist(), lx.rules(spark, d).persist()  # the lexicon is read by every kind of match
+    return classify(lx.documents(spark, d), terms, rules, lx.safe(spark), fuzzy, DataFrame.persist)
 
 
 def _flat(found: DataFrame) -> DataFrame:
