@@ -7,7 +7,7 @@ dealt so that equal windows meet:
 1. Every window picks the least hash among its ``GRAM``-byte grams, an anchor
    that equal windows choose alike. Each block of texts posts its anchors with
    the range of windows they stand for (a context: the bytes those windows
-   cover) and a hash of those bytes. Contexts that a block holds twice are
+   cover) and a short hash of those bytes. Contexts that a block holds twice are
    compared there, and only the earliest is posted.
 2. A bucket of anchor hashes tells which contexts to cut: none of an anchor
    that occurs once; of the others, those whose byte hash is new (members) and
@@ -61,7 +61,7 @@ BACK = U(pow(int(BASE), -1, 1 << 64))
 BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
 NOBODY = -(1 << 63)
 #: Columns of packed lists and their types.
-ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
+ANCHOR = [("h", "<u8"), ("c", "<u4"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i4"), ("lo", "u1"), ("hi", "u1")]
 ASKED = [("kind", "u1"), *ANCHOR]
 WINDOWS = [("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4")]
 RANGES = [("row", "<i8"), ("start", "<i4"), ("end", "<i4")]
@@ -94,7 +94,7 @@ def shard_of(row: np.ndarray, shards: int) -> np.ndarray:
 
 def packed(fields, cols: dict[str, np.ndarray]) -> bytes:
     """Columns end to end, each by byte planes: equal high bytes then compress away."""
-    return b"".join(np.ascontiguousarray(cols[k].astype(t)).view(np.uint8).reshape(len(cols[k]), -1).T.tobytes() for k, t in fields)
+    return b"".join(np.ascontiguousarray(cols[k].astype(t)).view(np.uint8).reshape(len(cols[k]), np.dtype(t).itemsize).T.tobytes() for k, t in fields)
 
 
 def unpacked(fields, blob: bytes) -> dict[str, np.ndarray]:
@@ -153,7 +153,7 @@ def anchors(docs: np.ndarray, rows: np.ndarray, texts: list[bytes]) -> dict[str,
     lo, hi = a - s2, a - s1
     covered = (total[s2 + WINDOW] - total[s1]) * back[s1]
     c = mix(covered ^ (lo.astype(np.uint64) << U(8)) ^ hi.astype(np.uint64))
-    return {"h": gram[a] >> U(16), "c": c, "doc": docs[o], "row": rows[o], "pos": a - first[o], "lo": lo, "hi": hi}
+    return {"h": gram[a] >> U(16), "c": c >> U(32), "doc": docs[o], "row": rows[o], "pos": a - first[o], "lo": lo, "hi": hi}
 
 
 def runs_of(docs: list[int], rows: list[int], texts: list[bytes]):
@@ -328,9 +328,12 @@ def transforms(bodies: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.n
 
 def cut(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     """Step 3: ``bucket, kind, blob, bytes``."""
-    schema = "bucket long, kind int, blob binary, bytes binary"
+    schema = "bucket long, kind int, blob binary, bytes binary"  # bytes: by Zstandard
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=3).compress
         rows: list[tuple[int, int, bytes, bytes]] = []
         blobs, part = right.column("blob").to_pylist(), parted(right, "known")
         known = union_of(joined(RANGES, [blobs[i] for i in part.get(True, [])]))
@@ -364,7 +367,7 @@ def cut(docs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
                 edges = np.append(np.flatnonzero(changes(bucket[own])), len(own)).tolist()
                 for s, e in zip(edges, edges[1:]):
                     lo = int(sizes[s - 1]) if s else 0
-                    rows.append((int(bucket[own[s]]), kind, packed(ANCHOR, {k: x[k][own[s:e]] for k, _ in ANCHOR}), bwt[lo : int(sizes[e - 1])].tobytes()))
+                    rows.append((int(bucket[own[s]]), kind, packed(ANCHOR, {k: x[k][own[s:e]] for k, _ in ANCHOR}), small(bwt[lo : int(sizes[e - 1])].tobytes())))
         got: list[tuple[bytes, int, int, int]] = []
         heavy = np.flatnonzero(x["kind"] & HASHED)
         for d, p, hi, t, r in zip(*(x[k][heavy].tolist() for k in ("doc", "pos", "hi")), body(texts, x, heavy), x["row"][heavy].tolist()):
@@ -474,7 +477,11 @@ def settle(cuts: DataFrame, shards: int, parts: int) -> DataFrame:
     """Step 4: ``shard, blob``: byte ranges to remove."""
 
     def run(group: pa.Table) -> pa.Table:
-        x = resolved(*(group.column(c).to_pylist() for c in ("kind", "blob", "bytes")))
+        import zstandard
+
+        whole = zstandard.ZstdDecompressor().decompress
+        kinds, blobs, data = (group.column(c).to_pylist() for c in ("kind", "blob", "bytes"))
+        x = resolved(kinds, blobs, [whole(d) if d else d for d in data])
         rows = list(buckets_of(RANGES, x, shard_of(x["row"], shards).astype(np.uint64), shards))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
