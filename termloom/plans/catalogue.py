@@ -180,7 +180,9 @@ def black_white_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return build.build_lexicon(lx.terms(spark, d).drop("tid"), lx.approved(spark, d), lx.external(spark, d), lx.safe(spark), lx.patterns(spark), lx.patterns(spark, lx.GREY_PATTERNS))
+    # a build reads both vocabularies several times
+    terms, external = lx.terms(spark, d).persist(), lx.external(spark, d).persist()
+    return build.build_lexicon(terms.drop("tid"), lx.approved(spark, d), external, lx.safe(spark), lx.patterns(spark), lx.patterns(spark, lx.GREY_PATTERNS))
 
 
 BUILD_SQL = (
