@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Words and the character n-grams (``GRAMS`` bytes, the blank around a word
-included) of a text are hashed into ``2 ** BITS`` rows of learned vectors, as is
-one token a word for whether it repeats the word before it. A
+included) of a text are hashed into ``2 ** BITS`` rows of learned vectors; two
+more rows say of each word whether it repeats the one before it. A
 text is the average of its vectors, a softmax layer gives the two classes, and
 numpy stochastic gradient descent trains both on a bounded sample (``SAMPLE``
 labelled texts by hash of the id), whole texts. As the softmax of two classes
@@ -11,7 +11,9 @@ costs hashing and one gather for each n-gram. The score is Platt-calibrated on
 a tenth of the sample that training leaves out.
 
 Defined cases: null, empty and blank texts have no feature and get the prior's
-score; without labelled texts, or with one class only, every score is the share
+score; equal texts get equal scores, whatever their id; a null id is never held
+out; rows with null or repeated ids are scored like others; an empty table gives
+an empty result; without labelled texts, or with one class only, every score is the share
 of label 1 (1 if there is none).
 """
 
@@ -70,7 +72,7 @@ def buckets(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     h = (total[stops] - total[starts]) * powers(BACK, len(wide) + 1)[starts]
     out.append((((h + np.uint64(1)) * MIX >> down).astype(np.int64), owner[starts]))
     same = (h[1:] == h[:-1]) & (owner[starts[1:]] == owner[starts[:-1]])
-    out.append((np.where(same, 1, 0), owner[starts[1:]]))
+    out.append(((1 << BITS) + same.astype(np.int64), owner[starts[1:]]))  # two rows of their own
     return out
 
 
@@ -91,7 +93,7 @@ class Model:
 
     def __init__(self, rows: list[tuple[int, str, int]], seed: int = 7):
         y = np.array([r[2] for r in rows], np.int64)
-        self.weight = np.zeros(1 << BITS, np.float32)
+        self.weight = np.zeros((1 << BITS) + 2, np.float32)
         self.bias = 0.0
         share = float(np.clip(y.mean() if len(y) else 1.0, 1e-4, 1 - 1e-4))
         self.bias = float(np.log(share / (1 - share)))
@@ -104,7 +106,7 @@ class Model:
             sparse.append((u.astype(np.int32), (c / max(1, c.sum())).astype(np.float32)))
         test = np.array([crc_of(f"calibrate-{r[0]}") % 10 == 0 for r in rows])
         rng = np.random.default_rng(seed)
-        vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
+        vectors = rng.uniform(-1 / DIM, 1 / DIM, ((1 << BITS) + 2, DIM)).astype(np.float32)
         layer = np.zeros((DIM, 2), np.float32)
         prior = np.log(np.array([1 - share, share], np.float32))
         train = np.flatnonzero(~test)
