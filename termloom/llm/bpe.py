@@ -18,7 +18,10 @@ Decoding concatenates the ids' byte pieces.
 
 Defined cases: null and empty texts have no token; a word that is itself in the
 vocabulary is one token whatever the merges, as in the tiktoken library;
-special tokens' strings are ordinary text.
+special tokens' strings are ordinary text; every row is encoded on its own,
+whatever its id (null and repeated ids too); of words equally frequent any may
+be in the dictionary, the result is the same; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

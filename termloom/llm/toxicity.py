@@ -10,7 +10,9 @@ seen fit the isotonic calibration. All is numpy, on a bounded sample
 ``STEMS`` and the number of trees.
 
 Defined cases: null and empty texts have all features zero and get the score
-of such a text; without labelled texts, or with one class only, every score is
+of such a text; equal texts get equal scores, whatever their id; a null id is
+never held out; rows with null or repeated ids are scored like others; an empty
+table gives an empty result; without labelled texts, or with one class only, every score is
 the share of toxic labels (0 if none).
 """
 
