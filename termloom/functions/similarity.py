@@ -73,28 +73,75 @@ def _counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.minimum(np.bincount(cells, minlength=32 * len(words)), 65535).reshape(-1, 32).astype(np.uint16)
 
 
+def _alphabet(targets: list[str]) -> np.ndarray:
+    return np.unique(np.frombuffer("".join(targets).encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
+def _grid(words: list[str], alphabet: np.ndarray) -> np.ndarray:
+    """Letters of words as numbers from 1 in the alphabet, 0 for others and beyond the end; words as columns."""
+    lengths = np.array([len(w) for w in words], np.int64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.minimum(np.searchsorted(alphabet, letters), len(alphabet) - 1)
+    out = np.zeros((int(lengths.max(initial=0)), len(words)), np.int32)
+    col = np.repeat(np.arange(len(words)), lengths)
+    out[np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths), col] = np.where(alphabet[at] == letters, at + 1, 0)
+    return out
+
+
+def _common(grid: np.ndarray, rows: np.ndarray, masks: np.ndarray, targets: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of pairs (row of the grid, target of up to 64 letters), a bit for each letter of the target."""
+    v = np.full(len(rows), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for letters in grid:
+        u = v & masks[targets, letters[rows]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - m[targets]).astype(np.uint64)))
+
+
 def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[str, str]]:
-    """Pairs by ratio. The matched letters are at most the letters two strings share: that bound goes first."""
+    """Pairs by ratio. Matched letters are letters that two strings share, and a common subsequence: those bounds go first."""
     n, have = _counts(texts)
     order = np.argsort(n, kind="stable")
     n, have = n[order], np.ascontiguousarray(have[order].T)
     m, want = _counts(targets)
-    out = []
-    for k, target in enumerate(targets):
+    hits, owners = [], []
+    for k in range(len(targets)):
         lo = np.searchsorted(n, math.ceil(m[k] * threshold / (2 - threshold) - 1e-9))
         hi = np.searchsorted(n, math.floor(m[k] * (2 - threshold) / threshold + 1e-9), "right")
         shared = np.zeros(hi - lo, np.uint16)
         for c in np.flatnonzero(want[k]).tolist():  # a vector operation for each letter the target has
             shared += np.minimum(have[c, lo:hi], want[k, c])
         hit = np.flatnonzero(2.0 * shared >= threshold * (n[lo:hi] + m[k]) - 1e-9)
-        matcher = SequenceMatcher(None, "", target)
-        for i in order[lo:hi][hit].tolist():
-            text = texts[i]
-            if text != target:
-                matcher.set_seq1(text)
-                if matcher.ratio() < threshold:
-                    continue
-            out.append((text, target))
+        if len(hit):
+            hits.append(hit + lo)
+            owners.append(np.full(len(hit), k))
+    if not hits:
+        return []
+    row, owner = np.concatenate(hits), np.concatenate(owners)
+    short = np.flatnonzero(m[owner] <= 64)
+    if len(short):
+        alphabet = _alphabet(targets)
+        masks = np.zeros((len(targets), len(alphabet) + 1), np.uint64)
+        letters = _grid(targets, alphabet)[:64]
+        for i, line in enumerate(letters):
+            masks[np.arange(len(targets)), line] |= np.uint64(1 << i)
+        masks[:, 0] = 0
+        grid = _grid([texts[i] for i in order.tolist()], alphabet)
+        keep = np.ones(len(row), bool)
+        for part in np.array_split(short, 1 + len(short) // 100_000):
+            common = _common(grid[: int(n[row[part]].max())], row[part], masks, owner[part], m)
+            keep[part] = 2.0 * common >= threshold * (n[row[part]] + m[owner[part]]) - 1e-9
+        row, owner = row[keep], owner[keep]
+    out, matcher, last = [], SequenceMatcher(None, "", ""), -1
+    for i, k in zip(order[row].tolist(), owner.tolist()):
+        text, target = texts[i], targets[k]
+        if text != target:
+            if k != last:
+                matcher.set_seq2(target)
+                last = k
+            matcher.set_seq1(text)
+            if matcher.ratio() < threshold:
+                continue
+        out.append((text, target))
     return out
 
 

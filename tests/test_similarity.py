@@ -18,3 +18,14 @@ def test_candidates_lose_no_pair(spark):
 def test_no_targets(spark):
     none = spark.createDataFrame([], "target string")
     assert similar_pairs(spark.createDataFrame([("a",)], "text string"), none, 0.8).collect() == []
+
+
+def test_bounds_lose_no_pair():
+    from termloom.functions.similarity import _near
+
+    rng = random.Random(2)
+    for letters, longest in (("ab", 8), ("abcdé", 90), ("abכלם", 90), ("abcdefgh", 12)):
+        words = list({"".join(rng.choice(letters) for _ in range(rng.randrange(1, longest))) for _ in range(60)})
+        targets = list({w[:-1] + rng.choice(letters) for w in words[:30]} | set(words[30:40]))
+        for t in (0.6, 0.82):
+            assert set(_near(words, targets, t)) == {(a, b) for a in words for b in targets if ratio_of(a, b) >= t}
