@@ -13,7 +13,7 @@ from ..sources.lexicon import TERM_FIELDS, in_order, levels
 
 @dataclass(frozen=True)
 class Labels:
-    """Names a build writes into its rows."""
+    """Names and notes a build writes into its rows; a category follows the two pattern notes."""
 
     seed_black: str = "seed_blacklist"
     seed_promoted: str = "seed_promoted_blacklist"
@@ -26,6 +26,11 @@ class Labels:
     seed_combination: str = "seed_combinations"
     generated_combination: str = "generated_combinations"
     general: str = "general_whitelist"
+    token_note: str = "Single token of an approved name"
+    safe_note: str = "Approved as a label"
+    black_note: str = "Sensitive pattern category: "
+    grey_note: str = "Context pattern category: "
+    white_note: str = "No sensitive pattern"
 
 
 def keep_first(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,7 +56,7 @@ def approved_tokens(approved: DataFrame, labels: Labels = Labels()) -> DataFrame
     first = each.groupBy("normalized_term").agg(F.min(F.struct("ord", "pos", "term")).alias("f"))
     return first.select(
         F.col("f.term").alias("term"), "normalized_term", F.lit("approved_token").alias("category"), F.lit(labels.approved_token).alias("source"), F.lit(0).alias("risk_level"),
-        F.lit("ALLOW").alias("action"), F.lit(0.9).alias("confidence"), F.lit("Single token of an approved name").alias("notes"), F.concat("f.ord", F.array(F.col("f.pos").cast("long"))).alias("ord"),
+        F.lit("ALLOW").alias("action"), F.lit(0.9).alias("confidence"), F.lit(labels.token_note).alias("notes"), F.concat("f.ord", F.array(F.col("f.pos").cast("long"))).alias("ord"),
     )
 
 
@@ -88,10 +93,10 @@ def tag_external(external: DataFrame, curated: DataFrame, safe: DataFrame, black
 
     pick = (
         F.when(F.col("curated").isNotNull(), F.col("curated"))
-        .when(F.col("is_safe"), tagged(F.lit("approved_label"), labels.safe, 0, "ALLOW", 0.92, F.lit("Approved as a label")))
-        .when(F.col("black").isNotNull(), tagged(F.col("black"), labels.heuristic_black, 90, "BLOCK", 0.72, F.concat(F.lit("Sensitive pattern category: "), "black")))
-        .when(F.col("grey").isNotNull(), tagged(F.col("grey"), labels.heuristic_grey, 64, "MANUAL_REVIEW", 0.64, F.concat(F.lit("Context pattern category: "), "grey")))
-        .otherwise(tagged(F.lit(labels.general), labels.default_white, 0, "ALLOW", 0.55, F.lit("No sensitive pattern")))
+        .when(F.col("is_safe"), tagged(F.lit("approved_label"), labels.safe, 0, "ALLOW", 0.92, F.lit(labels.safe_note)))
+        .when(F.col("black").isNotNull(), tagged(F.col("black"), labels.heuristic_black, 90, "BLOCK", 0.72, F.concat(F.lit(labels.black_note), "black")))
+        .when(F.col("grey").isNotNull(), tagged(F.col("grey"), labels.heuristic_grey, 64, "MANUAL_REVIEW", 0.64, F.concat(F.lit(labels.grey_note), "grey")))
+        .otherwise(tagged(F.lit(labels.general), labels.default_white, 0, "ALLOW", 0.55, F.lit(labels.white_note)))
     )
     return rows.select("normalized_term", "ord", pick.alias("p")).select("p.term", "normalized_term", "p.category", "p.source", "p.risk_level", "p.action", "p.confidence", "p.notes", "ord")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,23 @@ from ..functions.text import normalize_text
 from ..sources.lexicon import TERM_FIELDS, in_order
 
 
-def override_rows(requests: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Wording:
+    """Names and notes an override writes, for allowing and for blocking."""
+
+    category: tuple[str, str] = ("user_whitelist_override", "user_blacklist_override")
+    source: tuple[str, str] = ("user_whitelist", "user_blacklist")
+    notes: tuple[str, str] = ("User override: force allow", "User override: force block")
+
+
+def override_rows(requests: DataFrame, wording: Wording = Wording()) -> DataFrame:
     """Requests (term, action, created_at) as override rows; requests without normalized content are dropped."""
     allow = F.col("action") == "ALLOW"
     rows = requests.withColumn("term", F.trim("term")).withColumn("normalized_term", normalize_text(F.col("term"))).where("normalized_term <> ''")
     return rows.select(
-        "term", "normalized_term", F.when(allow, "user_whitelist_override").otherwise("user_blacklist_override").alias("category"),
-        F.when(allow, "user_whitelist").otherwise("user_blacklist").alias("source"), F.when(allow, 0).otherwise(95).alias("risk_level"), "action",
-        F.lit(0.99).alias("confidence"), F.when(allow, "User override: force allow").otherwise("User override: force block").alias("notes"), "created_at",
+        "term", "normalized_term", F.when(allow, wording.category[0]).otherwise(wording.category[1]).alias("category"),
+        F.when(allow, wording.source[0]).otherwise(wording.source[1]).alias("source"), F.when(allow, 0).otherwise(95).alias("risk_level"), "action",
+        F.lit(0.99).alias("confidence"), F.when(allow, wording.notes[0]).otherwise(wording.notes[1]).alias("notes"), "created_at",
     )
 
 
@@ -44,11 +55,11 @@ def apply_overrides(black: DataFrame, white: DataFrame, log: DataFrame) -> tuple
     return out[0], out[1]
 
 
-def override(black: DataFrame, white: DataFrame, term: str, action: str) -> tuple[DataFrame, DataFrame, dict]:
+def override(black: DataFrame, white: DataFrame, term: str, action: str, wording: Wording = Wording()) -> tuple[DataFrame, DataFrame, dict]:
     """One request: the new lists and an acknowledgement."""
     if action not in ("ALLOW", "BLOCK"):
         raise ValueError("action is ALLOW or BLOCK")
-    log = override_rows(black.sparkSession.createDataFrame([(term, action)], "term string, action string").withColumn("created_at", F.current_timestamp()))
+    log = override_rows(black.sparkSession.createDataFrame([(term, action)], "term string, action string").withColumn("created_at", F.current_timestamp()), wording)
     row = log.first()
     if row is None:
         raise ValueError(f"nothing is left of {term!r} after normalization")

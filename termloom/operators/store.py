@@ -74,13 +74,13 @@ def history(spark: SparkSession, directory: str) -> DataFrame:
     return read_csv_or_empty(spark, f"{directory}/history", OVERRIDE)
 
 
-def override(spark: SparkSession, directory: str, term: str, action: str) -> dict:
+def override(spark: SparkSession, directory: str, term: str, action: str, wording: overrides.Wording = overrides.Wording()) -> dict:
     """One override: history first, then all lists, word lists and parts as a new version. Returns the acknowledgement."""
     own = lists(spark, directory)
-    black, white, answer = overrides.override(own["blacklist"], own["whitelist"], term, action)
+    black, white, answer = overrides.override(own["blacklist"], own["whitelist"], term, action, wording)
     fields = [f.split(" ")[0] for f in OVERRIDE.split(", ")]
     asked = spark.createDataFrame([(answer["term"], action)], "term string, action string").withColumn("created_at", F.current_timestamp())
-    overrides.override_rows(asked).select(*fields).write.mode("append").options(header=True, escape='"').csv(f"{directory}/history")
+    overrides.override_rows(asked, wording).select(*fields).write.mode("append").options(header=True, escape='"').csv(f"{directory}/history")
     answer["version"] = publish(black, white, own["combinations"], directory)
     return answer
 

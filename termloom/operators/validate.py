@@ -16,24 +16,28 @@ def lookup(rows: DataFrame) -> DataFrame:
     return keep_last(rows.where("coalesce(normalized_term, '') <> ''").select("normalized_term", "term", "ord"), ["normalized_term"]).select("normalized_term", "term")
 
 
-def segments(docs: DataFrame, black: DataFrame, white: DataFrame) -> DataFrame:
+#: Reasons of a segment: blocked (its term follows), approved, unknown.
+REASONS = ("Blocked term: ", "Approved term", "Unknown term")
+
+
+def segments(docs: DataFrame, black: DataFrame, white: DataFrame, reasons: tuple[str, str, str] = REASONS) -> DataFrame:
     """``id, pos, value, status, reason`` for every raw token of every text."""
     each = docs.select("id", F.posexplode(raw_tokens(F.col("text"))).alias("pos", "value"))
     words = each.select("value").distinct().withColumn("normalized_term", normalize_text(F.col("value")))
     b, w = lookup(black).withColumnRenamed("term", "black"), lookup(white).select("normalized_term", F.lit(True).alias("white"))
     status = F.when(F.col("black").isNotNull(), "BLOCK").when(F.col("white"), "ALLOW").otherwise("UNKNOWN")
-    reason = F.when(F.col("black").isNotNull(), F.concat(F.lit("Blocked term: "), "black")).when(F.col("white"), "Approved term").otherwise("Unknown term")
+    reason = F.when(F.col("black").isNotNull(), F.concat(F.lit(reasons[0]), "black")).when(F.col("white"), reasons[1]).otherwise(reasons[2])
     known = words.join(b, "normalized_term", "left").join(w, "normalized_term", "left").select("value", status.alias("status"), reason.alias("reason"))
     return each.join(known, "value").select("id", "pos", "value", "status", "reason")
 
 
-def validate_detailed(docs: DataFrame, black: DataFrame, white: DataFrame, rules: DataFrame, threshold: float | None = match.TOKEN_RATIO) -> DataFrame:
+def validate_detailed(docs: DataFrame, black: DataFrame, white: DataFrame, rules: DataFrame, threshold: float | None = match.TOKEN_RATIO, reasons: tuple[str, str, str] = REASONS) -> DataFrame:
     """``id, text, normalized_text, overall_status, segments, matched_terms, matched_combinations``.
 
     Every row has its own result; ids may be null or repeated.
     """
     keyed = docs.select(row_key(docs).alias("id"), "text")
-    each = segments(keyed.distinct(), black, white)
+    each = segments(keyed.distinct(), black, white, reasons)
     listed = F.sort_array(F.collect_list(F.struct("pos", "value", "status", "reason")))
     by_doc = each.groupBy("id").agg(
         F.transform(listed, lambda s: F.struct(s["value"].alias("value"), s["status"].alias("status"), s["reason"].alias("reason"))).alias("segments"),
