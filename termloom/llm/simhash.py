@@ -12,7 +12,9 @@ Lists return a spanning forest, not their pairs.
 
 Defined cases: null, empty and blank texts have no word and the fingerprint
 zero, linked like any other; fewer words than a shingle are one shingle; equal
-fingerprints are one node, so copies never multiply pairs.
+fingerprints are one node, so copies never multiply pairs; every row is returned,
+repeated ids too, and a null id names a component only where it has no other; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,9 +44,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         each = [h(b" ".join(w), 42)]
     else:
         each = [h(b" ".join(t), 42) for t in zip(*(w[i:] for i in range(words)))]
+    return majority(np.array(each, np.uint64))
+
+
+def majority(each: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(each), 65536):
-        block = np.array(each[at : at + 65536], ">u8")
+        block = each[at : at + 65536].astype(">u8")
         votes += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(each)).tobytes(), "big")
 
