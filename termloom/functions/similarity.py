@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Up to this length blocks are sought by plain search, which then is quicker than SequenceMatcher.
+SHORT = 24
+
+
 def ratio_of(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
 
@@ -97,22 +101,45 @@ def _common(grid: np.ndarray, rows: np.ndarray, masks: np.ndarray, targets: np.n
     return np.bitwise_count(~v & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - m[targets]).astype(np.uint64)))
 
 
+def _marks(counts: np.ndarray) -> np.ndarray:
+    """For every class of letters two bits: whether it occurs once, and twice or more."""
+    bits = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    return ((counts >= 1) * bits).sum(axis=1, dtype=np.uint64) | ((counts >= 2) * bits).sum(axis=1, dtype=np.uint64) << np.uint64(32)
+
+
+def _matched(a: str, b: str) -> int:
+    """Letters that Ratcliff/Obershelp matches: the longest common block, the first in a and then in b, and so on either side of it."""
+    for size in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - size + 1):
+            j = b.find(a[i : i + size])
+            if j >= 0:
+                return size + _matched(a[:i], b[:j]) + _matched(a[i + size :], b[j + size :])
+    return 0
+
+
 def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[str, str]]:
-    """Pairs by ratio. Matched letters are letters that two strings share, and a common subsequence: those bounds go first."""
+    """Pairs by ratio. Matched letters are letters that two strings share, and a common subsequence: those bounds go first.
+
+    Marks that only one of two strings has are letters without a match, so the marks of all go before the letters' counts.
+    """
     n, have = _counts(texts)
     order = np.argsort(n, kind="stable")
-    n, have = n[order], np.ascontiguousarray(have[order].T)
+    n, have = n[order], have[order]
+    marks = _marks(have)
     m, want = _counts(targets)
-    hits, owners = [], []
+    wanted = _marks(want)
+    hits, owners, spare, size = [], [], np.zeros(0), -1
     for k in range(len(targets)):
-        lo = np.searchsorted(n, math.ceil(m[k] * threshold / (2 - threshold) - 1e-9))
-        hi = np.searchsorted(n, math.floor(m[k] * (2 - threshold) / threshold + 1e-9), "right")
-        shared = np.zeros(hi - lo, np.uint16)
-        for c in np.flatnonzero(want[k]).tolist():  # a vector operation for each letter the target has
-            shared += np.minimum(have[c, lo:hi], want[k, c])
-        hit = np.flatnonzero(2.0 * shared >= threshold * (n[lo:hi] + m[k]) - 1e-9)
+        if m[k] != size:
+            size = m[k]
+            lo = np.searchsorted(n, math.ceil(size * threshold / (2 - threshold) - 1e-9))
+            hi = np.searchsorted(n, math.floor(size * (2 - threshold) / threshold + 1e-9), "right")
+            spare = np.minimum(np.floor((1 - threshold) * (n[lo:hi] + size) + 1e-9), 255).astype(np.uint8)
+        hit = np.flatnonzero(np.bitwise_count(marks[lo:hi] ^ wanted[k]) <= spare) + lo
+        shared = np.minimum(have[hit], want[k]).sum(axis=1)
+        hit = hit[2.0 * shared >= threshold * (n[hit] + m[k]) - 1e-9]
         if len(hit):
-            hits.append(hit + lo)
+            hits.append(hit)
             owners.append(np.full(len(hit), k))
     if not hits:
         return []
@@ -134,7 +161,10 @@ def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[
     out, matcher, last = [], SequenceMatcher(None, "", ""), -1
     for i, k in zip(order[row].tolist(), owner.tolist()):
         text, target = texts[i], targets[k]
-        if text != target:
+        if len(text) <= SHORT and len(target) <= SHORT:
+            if 2.0 * _matched(text, target) / (len(text) + len(target)) < threshold:
+                continue
+        elif text != target:
             if k != last:
                 matcher.set_seq2(target)
                 last = k
@@ -145,6 +175,40 @@ def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[
     return out
 
 
+class Resembling:
+    """Targets that words resemble. Words met before are not compared again; the latest ``hold`` to twice as many are kept."""
+
+    def __init__(self, targets: list[str], threshold: float, hold: int = 150_000):
+        self.targets, self.threshold, self.hold = targets, threshold, hold
+        sizes = [len(t) for t in targets] or [1]
+        self.least = math.ceil(min(sizes) * threshold / (2 - threshold) - 1e-9)
+        self.most = math.floor(max(sizes) * (2 - threshold) / threshold + 1e-9)
+        self.known: dict[str, tuple[str, ...]] = {}
+        self.before: dict[str, tuple[str, ...]] = {}
+
+    def of(self, words: set[str]) -> dict[str, tuple[str, ...]]:
+        """For every one of the words its targets; other words may be there too."""
+        if len(self.known) > self.hold:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        known.update((w, before.get(w, ())) for w in new)
+        new = [w for w in new if w not in before and self.least <= len(w) <= self.most]
+        for text, target in _near(new, self.targets, self.threshold) if new and self.targets else []:
+            known[text] += (target,)
+        return known
+
+
+_kept: list[Resembling] = []
+
+
+def resembling(targets: list[str], threshold: float) -> Resembling:
+    """The same for later tasks of a Python worker, while they ask for the same targets."""
+    if not _kept or (_kept[0].targets, _kept[0].threshold) != (targets, threshold):
+        _kept[:] = [Resembling(targets, threshold)]
+    return _kept[0]
+
+
 def few_targets(targets: DataFrame, few: int) -> list[str] | None:
     """The targets, shortest first, if there are at most ``few`` of them."""
     rows = targets.select("target").limit(few + 1).collect()

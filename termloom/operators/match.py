@@ -7,10 +7,12 @@ broadcasts the lexicon while it is small and shuffles beyond that.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.similarity import similar_pairs, similar_rows
+from ..functions.similarity import few_targets, resembling, similar_pairs, similar_rows
 from ..functions.text import tokens
 
 TERM_RATIO, TOKEN_RATIO, WINDOW, MIN_FUZZY = 0.86, 0.82, 4, 5
@@ -113,32 +115,92 @@ def term_matches(docs: DataFrame, terms: DataFrame, safe: DataFrame | None = Non
     return exact.distinct()
 
 
-def ordered_windows(docs: DataFrame, rules: DataFrame, threshold: float | None = TOKEN_RATIO, window: int = WINDOW) -> DataFrame:
+def ordered_windows(docs: DataFrame, rules: DataFrame, threshold: float | None = TOKEN_RATIO, window: int = WINDOW, few: int = 5000) -> DataFrame:
     """Rules (tid, normalized_phrase) whose words occur in order, each the nearest within ``window`` tokens of the one before.
 
     Greedy from every start, no backtracking. A threshold of None asks for
-    equal tokens. One-word phrases have no such match. Word pairs up to
-    ``window`` apart are joined with the rules' first two words: that settles
-    rules of two words, and only what it lets through is followed further.
+    equal tokens. One-word phrases have no such match. Up to ``few`` distinct
+    words of at most four times as many rules (both are checked) go to every
+    batch of texts, which are walked where they stand. Otherwise words that
+    resemble a rule's are met by joins; what rules' first two words let through
+    is followed further.
     """
     w = tokens(F.col("normalized_phrase"))
     parted = rules.where(F.size(w) > 1).select("tid", F.size(w).alias("k"), w.alias("w"))
+    if threshold is not None:
+        listed = parted.select("tid", "w").limit(4 * few + 1).collect()
+        wanted = few_targets(parted.select(F.explode("w").alias("target")).distinct(), few) if len(listed) <= 4 * few else None
+        if wanted is not None:
+            return _walked(docs, [(r.tid, r.w) for r in listed], rules.schema["tid"].dataType, wanted, threshold, window)
+        return _joined(docs, parted, threshold, window)
     words = tokens(F.col("nx"))
-    if threshold is None:
-        like = None
-        firsts = parted.select("tid", "k", F.col("w")[0].alias("s"), F.col("w")[1].alias("t"))
-    else:
-        targets = parted.select(F.explode("w").alias("target")).distinct()
-        like = similar_pairs(doc_words(docs).select(F.col("word").alias("text")).distinct(), targets, threshold)
-        first, second = like.select(F.col("target").alias("t0"), F.col("text").alias("s")), like.select(F.col("target").alias("t1"), F.col("text").alias("t"))
-        firsts = parted.select("tid", "k", F.col("w")[0].alias("t0"), F.col("w")[1].alias("t1")).join(first, "t0").join(second, "t1").select("tid", "k", "s", "t")
+    firsts = parted.select("tid", "k", F.col("w")[0].alias("s"), F.col("w")[1].alias("t"))
     n = F.size(words)
     apart = [F.zip_with(F.slice(words, 1, F.greatest(n - d, F.lit(0))), F.slice(words, 1 + d, F.greatest(n - d, F.lit(0))), lambda s, t: F.struct(s.alias("s"), t.alias("t"))) for d in range(1, window + 1)]
     pairs = docs.select("id", F.explode(F.flatten(F.array(*apart))).alias("p")).select("id", "p.s", "p.t")
     met = pairs.join(firsts, ["s", "t"]).select("id", "tid", "k").distinct()
     if parted.where("k > 2").limit(1).count() == 0:
         return met.select("id", "tid")
-    return met.where("k = 2").select("id", "tid").unionByName(_followed(docs, parted, met.where("k > 2"), like, window))
+    return met.where("k = 2").select("id", "tid").unionByName(_followed(docs, parted, met.where("k > 2"), None, window))
+
+
+def _walked(docs: DataFrame, rules: list[tuple], tid_type, targets: list[str], threshold: float, window: int) -> DataFrame:
+    """Matches of few rules, text by text: no word or pair of words leaves its row."""
+    following: dict[str, dict[str, list[int]]] = {}  # first word -> second word -> rules
+    for at, (_, w) in enumerate(rules):
+        following.setdefault(w[0], {}).setdefault(w[1], []).append(at)
+
+    def found(words: list[str], near: dict[str, tuple[str, ...]]) -> set[int]:
+        places = [(i, t) for i, t in enumerate(map(near.__getitem__, words)) if t]
+        out: set[int] = set()
+        for k, (start, firsts) in enumerate(places):
+            tried: set[int] = set()
+            for i, seconds in places[k + 1 : k + 1 + window]:
+                if i - start > window:
+                    break
+                for first in firsts:
+                    after = following.get(first)
+                    for second in seconds if after else ():
+                        for at in after.get(second, ()):
+                            if at not in tried:  # only the nearest second word counts
+                                tried.add(at)
+                                if at not in out and reaches(rules[at][1], i + 1, words, near):
+                                    out.add(at)
+        return out
+
+    def reaches(w: list[str], cursor: int, words: list[str], near: dict[str, tuple[str, ...]]) -> bool:
+        for target in w[2:]:
+            cursor = next((i + 1 for i in range(cursor, min(len(words), cursor + window)) if target in near[words[i]]), 0)
+            if not cursor:
+                return False
+        return True
+
+    def run(batches):
+        like = resembling(targets, threshold)
+        for whole in batches:
+            for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
+                texts = [(x or "").split(" ") for x in batch.column("nx").to_pylist()]
+                near = like.of(set().union(*texts))
+                hits = [(row, at) for row, words in enumerate(texts) for at in sorted(found(words, near))]
+                ids = batch.column("id").take(pa.array([row for row, _ in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([rules[at][0] for _, at in hits], tids)], ["id", "tid"])
+
+    tids = to_arrow_type(tid_type)
+    return docs.select("id", "nx").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tid {tid_type.simpleString()}").distinct()
+
+
+def _joined(docs: DataFrame, parted: DataFrame, threshold: float, window: int) -> DataFrame:
+    """Matches of any number of rules: places of similar words meet within their row, so a word's variants never multiply rules."""
+    keyed = docs.select(F.struct(F.col("id").alias("id"), F.xxhash64("nx").alias("text")).alias("id"), "nx")
+    like = similar_pairs(doc_words(keyed).select(F.col("word").alias("text")).distinct(), parted.select(F.explode("w").alias("target")).distinct(), threshold)
+    places = keyed.select("id", F.posexplode(tokens(F.col("nx"))).alias("pos", "text")).join(like, "text").select("id", "pos", "target")
+    firsts = parted.select("tid", "k", F.col("w")[0].alias("t0"), F.col("w")[1].alias("t1"))
+    ahead = places.withColumnRenamed("target", "t0").join(firsts.select("t0").distinct(), "t0", "left_semi")
+    ahead = ahead.select("id", "t0", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + window)).alias("pos"))
+    second = places.withColumnRenamed("target", "t1").join(firsts.select("t1").distinct(), "t1", "left_semi")
+    met = ahead.join(second, ["id", "pos"]).select("id", "t0", "t1").distinct().join(firsts, ["t0", "t1"]).select("id", "tid", "k")
+    both = met.where("k = 2").select("id", "tid").unionByName(_followed(keyed, parted, met.where("k > 2"), like, window))
+    return both.select(F.col("id.id").alias("id"), "tid").distinct()
 
 
 def _followed(docs: DataFrame, parted: DataFrame, met: DataFrame, like: DataFrame | None, window: int) -> DataFrame:
