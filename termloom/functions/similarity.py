@@ -143,7 +143,14 @@ def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[
             owners.append(np.full(len(hit), k))
     if not hits:
         return []
-    row, owner = np.concatenate(hits), np.concatenate(owners)
+    return _verified(texts, targets, order[np.concatenate(hits)], np.concatenate(owners), threshold)
+
+
+def _verified(texts: list[str], targets: list[str], row: np.ndarray, owner: np.ndarray, threshold: float) -> list[tuple[str, str]]:
+    """Those of the pairs (number of the text, number of the target) that have the ratio: common subsequences first, then blocks."""
+    used, row = np.unique(row, return_inverse=True)
+    texts = [texts[i] for i in used.tolist()]
+    n, m = (np.array([len(w) for w in words], np.int64) for words in (texts, targets))
     short = np.flatnonzero(m[owner] <= 64)
     if len(short):
         alphabet = _alphabet(targets)
@@ -152,14 +159,14 @@ def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[
         for i, line in enumerate(letters):
             masks[np.arange(len(targets)), line] |= np.uint64(1 << i)
         masks[:, 0] = 0
-        grid = _grid([texts[i] for i in order.tolist()], alphabet)
+        grid = _grid(texts, alphabet)
         keep = np.ones(len(row), bool)
         for part in np.array_split(short, 1 + len(short) // 100_000):
             common = _common(grid[: int(n[row[part]].max())], row[part], masks, owner[part], m)
             keep[part] = 2.0 * common >= threshold * (n[row[part]] + m[owner[part]]) - 1e-9
         row, owner = row[keep], owner[keep]
     out, matcher, last = [], SequenceMatcher(None, "", ""), -1
-    for i, k in zip(order[row].tolist(), owner.tolist()):
+    for i, k in zip(row.tolist(), owner.tolist()):
         text, target = texts[i], targets[k]
         if len(text) <= SHORT and len(target) <= SHORT:
             if 2.0 * _matched(text, target) / (len(text) + len(target)) < threshold:
@@ -175,6 +182,101 @@ def _near(texts: list[str], targets: list[str], threshold: float) -> list[tuple[
     return out
 
 
+def _akin(sizes: np.ndarray, letters: np.ndarray, marks: np.ndarray, targets: list[str], limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``word, target`` (numbers) that differ by at most the target's limit in letters, whatever their order."""
+    order = np.argsort(sizes, kind="stable")
+    n, marks = sizes[order], marks[order]
+    m, want = _counts(targets)
+    hits, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (wanted, limit) in enumerate(zip(_marks(want), limits)):
+        lo, hi = np.searchsorted(n, m[k] - limit), np.searchsorted(n, m[k] + limit, "right")
+        hit = order[lo + np.flatnonzero(np.bitwise_count(marks[lo:hi] ^ wanted) <= limit)]
+        if len(hit):
+            hits.append(hit[np.abs(letters[hit].astype(np.int32) - want[k]).sum(axis=1, dtype=np.int32) <= limit])
+            owners.append(np.full(len(hits[-1]), k))
+    return np.concatenate(hits), np.concatenate(owners)
+
+
+def near_runs(vocabulary: list[str], runs: np.ndarray, targets: list[str], threshold: float) -> list[tuple[int, str]]:
+    """``run, target`` of runs of words (numbers in the vocabulary, a run a row) that resemble a target when joined by blanks.
+
+    A ratio leaves d letters without a match. Either all blanks match: then
+    words face words, and one of w has at most d / w such letters. Or a blank on
+    either side has no match: then the letters have at most d - 2. Only runs
+    that pass one of these, and the bounds on shared letters, become strings.
+    """
+    if not len(runs) or not targets:
+        return []
+    width = runs.shape[1]
+    sizes, letters = _counts(vocabulary)
+    marks, half, lower = _marks(letters), np.uint64(32), np.uint64(0xFFFFFFFF)
+    m, want = _counts(targets)
+    n = sizes[runs].sum(axis=1) + width - 1
+    order = np.flatnonzero((n >= m.min() * threshold / (2 - threshold) - 1e-9) & (n <= m.max() * (2 - threshold) / threshold + 1e-9))
+    order = order[np.argsort(n[order], kind="stable")]
+    runs, n = runs[order], n[order]
+    once, twice = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    for more in marks[runs].T:
+        twice |= (more >> half) | (once & more & lower)
+        once |= more & lower
+    own = once | twice << half
+    bare = _marks(_counts([t.replace(" ", "") for t in targets])[1])
+    spare = lambda i, k: np.floor((1 - threshold) * (n[i] + m[k]) + 1e-9).astype(np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    # a word faces its like: marks of the letters of all words differ by no more than the letters
+    split = [t.split(" ") for t in targets]
+    widest = np.floor((1 - threshold) * (m + np.floor(m * (2 - threshold) / threshold + 1e-9)) + 1e-9).astype(np.int64) // width
+    for at in range(width):
+        by_word: dict[str, list[int]] = {}
+        for k, w in enumerate(split):
+            by_word.setdefault(w[at], []).append(k)
+        facing = list(by_word)
+        word, like = _akin(sizes, letters, marks, facing, [int(widest[by_word[w]].max()) for w in facing])
+        each = np.array([len(by_word[w]) for w in facing], np.int64)
+        flat = np.concatenate([np.array(by_word[w], np.int64) for w in facing])
+        of = np.arange(int(each[like].sum())) - np.repeat(np.cumsum(each[like]) - each[like] - (np.cumsum(each) - each)[like], each[like])
+        word, of = np.repeat(word, each[like]), flat[of]
+        flat = of[np.argsort(word, kind="stable")]
+        counts = np.bincount(word, minlength=len(sizes))
+        starts = np.cumsum(counts) - counts
+        held = np.flatnonzero(counts[runs[:, at]])
+        for part in np.array_split(held, 1 + len(held) // 100_000):
+            each = counts[runs[part, at]]
+            i = np.repeat(part, each)
+            k = flat[np.arange(len(i)) - np.repeat(np.cumsum(each) - each - starts[runs[part, at]], each)]
+            keep = np.bitwise_count(own[i] ^ bare[k]) <= spare(i, k)
+            found.append((i[keep], k[keep]))
+
+    # a blank has no match
+    low, high = (np.ceil((m * threshold + 2) / (2 - threshold) - 1e-9), np.floor((m * (2 - threshold) - 2) / threshold + 1e-9))
+    for lo in range(0, len(n), 1 << 15):
+        block, lengths = own[lo : lo + (1 << 15)], n[lo : lo + (1 << 15)]
+        for k in np.flatnonzero((low <= high) & (low <= lengths[-1]) & (high >= lengths[0])).tolist():
+            first, last = np.searchsorted(lengths, [low[k], high[k] + 1])
+            if first < last:
+                hit = np.flatnonzero(np.bitwise_count(block[first:last] ^ bare[k]) <= math.floor((1 - threshold) * (lengths[last - 1] + m[k]) + 1e-9) - 2)
+                if len(hit):
+                    i = hit + (lo + first)
+                    found.append((i, np.full(len(i), k)))
+
+    row, owner = (np.concatenate([f[x] for f in found]) if found else np.zeros(0, np.int64) for x in (0, 1))
+    keep = np.zeros(len(row), bool)
+    for part in np.array_split(np.arange(len(row)), 1 + len(row) // 100_000):
+        have = letters[runs[row[part]]].sum(axis=1, dtype=np.uint32)
+        have[:, 0] += width - 1
+        keep[part] = 2.0 * np.minimum(have, want[owner[part]]).sum(axis=1) >= threshold * (n[row[part]] + m[owner[part]]) - 1e-9
+    row, owner = np.divmod(np.unique(row[keep] * len(targets) + owner[keep]), len(targets))
+    if not len(row):
+        return []
+    used, row = np.unique(row, return_inverse=True)
+    texts = [" ".join([vocabulary[i] for i in run]) for run in runs[used].tolist()]
+    places: dict[str, list[int]] = {}
+    for text, at in zip(texts, order[used].tolist()):
+        places.setdefault(text, []).append(at)
+    return [(at, target) for text, target in dict.fromkeys(_verified(texts, targets, row, owner, threshold)) for at in places[text]]
+
+
 class Resembling:
     """Targets that words resemble. Words met before are not compared again; the latest ``hold`` to twice as many are kept."""
 
@@ -203,9 +305,11 @@ _kept: list[Resembling] = []
 
 
 def resembling(targets: list[str], threshold: float) -> Resembling:
-    """The same for later tasks of a Python worker, while they ask for the same targets."""
-    if not _kept or (_kept[0].targets, _kept[0].threshold) != (targets, threshold):
-        _kept[:] = [Resembling(targets, threshold)]
+    """The same for later tasks of a Python worker, while they ask for the same targets; the latest two are kept."""
+    for found in _kept:
+        if (found.targets, found.threshold) == (targets, threshold):
+            return found
+    _kept[:] = [Resembling(targets, threshold), *_kept[:1]]
     return _kept[0]
 
 

@@ -6,6 +6,8 @@ lambda over its tokens, so the expressions stay inside code generation.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ OTHER = "אחר"
 MIN_STRIPPED = 3
 STRIPPABLE = [b for b in BASES if len(b) >= MIN_STRIPPED]
 OUTSIDE = "[^\u0590-\u05bd\u05bf-\u05ff0-9a-zA-Z]+"
+RAW = "[\\u0590-\\u05ffA-Za-z0-9]+"
 WORD_CLASS = r"֐-׿0-9a-zA-Z"
 
 
@@ -69,6 +72,18 @@ def normalize_text(c: Column) -> Column:
     return F.when(c.rlike("[א-ת]"), _replace_words(c, True)).otherwise(c)
 
 
+_MARKS = re.compile(f"[\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7{QUOTES}]+")
+_PREFIXED = re.compile(f"(?<![^ ])[{PREFIX_LETTERS}]{{1,3}}({'|'.join(STRIPPABLE)})(?![^ ])")
+
+
+def normalized_raw(token: str) -> str:
+    """``normalize_text`` of a raw token, outside Spark: it holds only word characters, and the maqaf alone becomes a blank."""
+    c = re.sub("\u05be+", " ", _MARKS.sub("", token)).strip(" ").lower()
+    if not re.search("[א-ת]", c):
+        return c
+    return " ".join([CONSTRUCT.get(w, w) for w in _PREFIXED.sub(r"\1", c).split(" ")])
+
+
 def normalize_pattern(c: Column) -> Column:
     """A rule pattern: each word normalized, prefixes kept."""
     return F.array_join(F.filter(F.transform(F.split(c, r"\s+"), lambda w: normalize_token(w, False)), lambda w: w != ""), " ")
@@ -81,7 +96,7 @@ def tokens(normalized: Column) -> Column:
 
 def raw_tokens(c: Column) -> Column:
     """Maximal runs of word characters of the raw text; marks and geresh stay inside."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[\\u0590-\\u05ffA-Za-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RAW), F.lit(0))
 
 
 def letter_bucket(c: Column) -> Column:
