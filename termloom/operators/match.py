@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.similarity import few_targets, resembling, similar_pairs, similar_rows
+from ..functions.similarity import few_targets, similar_pairs, similar_rows
 from ..functions.text import tokens
+from . import inplace
 
 TERM_RATIO, TOKEN_RATIO, WINDOW, MIN_FUZZY = 0.86, 0.82, 4, 5
 
@@ -145,45 +146,17 @@ def ordered_windows(docs: DataFrame, rules: DataFrame, threshold: float | None =
 
 
 def _walked(docs: DataFrame, rules: list[tuple], tid_type, targets: list[str], threshold: float, window: int) -> DataFrame:
-    """Matches of few rules, text by text: no word or pair of words leaves its row."""
-    following: dict[str, dict[str, list[int]]] = {}  # first word -> second word -> rules
-    for at, (_, w) in enumerate(rules):
-        following.setdefault(w[0], {}).setdefault(w[1], []).append(at)
-
-    def found(words: list[str], near: dict[str, tuple[str, ...]]) -> set[int]:
-        places = [(i, t) for i, t in enumerate(map(near.__getitem__, words)) if t]
-        out: set[int] = set()
-        for k, (start, firsts) in enumerate(places):
-            tried: set[int] = set()
-            for i, seconds in places[k + 1 : k + 1 + window]:
-                if i - start > window:
-                    break
-                for first in firsts:
-                    after = following.get(first)
-                    for second in seconds if after else ():
-                        for at in after.get(second, ()):
-                            if at not in tried:  # only the nearest second word counts
-                                tried.add(at)
-                                if at not in out and reaches(rules[at][1], i + 1, words, near):
-                                    out.add(at)
-        return out
-
-    def reaches(w: list[str], cursor: int, words: list[str], near: dict[str, tuple[str, ...]]) -> bool:
-        for target in w[2:]:
-            cursor = next((i + 1 for i in range(cursor, min(len(words), cursor + window)) if target in near[words[i]]), 0)
-            if not cursor:
-                return False
-        return True
+    """Matches of few rules, text by text: no word or pair of words leaves its row, and a row names a rule once."""
+    tids_of: dict[tuple, list] = {}
+    for tid, w in rules:
+        tids_of.setdefault(tuple(w), []).append(tid)
+    windows, tids_of = inplace.Windows([list(w) for w in tids_of], targets, threshold, window), [list(dict.fromkeys(x)) for x in tids_of.values()]
 
     def run(batches):
-        like = resembling(targets, threshold)
-        for whole in batches:
-            for batch in (whole.slice(at, 2000) for at in range(0, whole.num_rows, 2000)):
-                texts = [(x or "").split(" ") for x in batch.column("nx").to_pylist()]
-                near = like.of(set().union(*texts))
-                hits = [(row, at) for row, words in enumerate(texts) for at in sorted(found(words, near))]
-                ids = batch.column("id").take(pa.array([row for row, _ in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([rules[at][0] for _, at in hits], tids)], ["id", "tid"])
+        for batch, part in inplace.sliced_texts(batches, "nx"):
+            hits = sorted({(row, tid) for row, at in windows.of(part) for tid in tids_of[at]}, key=lambda h: h[0])
+            ids = batch.column("id").take(pa.array([row for row, _ in hits], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([tid for _, tid in hits], tids)], ["id", "tid"])
 
     tids = to_arrow_type(tid_type)
     return docs.select("id", "nx").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tid {tid_type.simpleString()}").distinct()
