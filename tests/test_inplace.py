@@ -7,6 +7,7 @@ import pytest
 from termloom.functions.similarity import ratio_of
 from termloom.functions.text import normalize_text, normalized_raw
 from termloom.operators import inplace
+from termloom.operators.classify import classify
 from termloom.operators.validate import validate_detailed
 
 from .test_matching import frame
@@ -35,6 +36,16 @@ def rows(df):
     return sorted(map(repr, (r.asDict(recursive=True) for r in df.collect())))
 
 
+def test_classify_as_by_joins(spark, monkeypatch):
+    docs, (terms, rules) = frame(spark, texts(3), "id long, text string"), lists(spark)
+    safe = frame(spark, [("alphax",)], "normalized_term string")
+    found = classify(docs, terms, rules, safe)
+    assert exchanges_of_texts(found) == 0
+    got = rows(found)
+    monkeypatch.setattr(inplace, "few_rows", lambda *_: None)
+    assert got == rows(classify(docs, terms, rules, safe))
+
+
 def test_validate_as_by_joins(spark, monkeypatch):
     docs, (terms, rules) = frame(spark, texts(4), "id long, text string"), lists(spark)
     listed = terms.withColumn("ord", terms["tid"])
